@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadastra.llm._io import Scratch
 from cadastra.llm.minhash import near_duplicates
+from cadastra.llm.packing import pack
+from cadastra.llm.rans import read_ids, write_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "ids").base
+    write_ids(_table(spark, sf_dir, "documents"), path)
+    return read_ids(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
