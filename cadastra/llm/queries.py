@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.llm._io import Scratch
 from cadastra.llm.decontaminate import find_leaks
+from cadastra.llm.licenses import scan_licenses
 from cadastra.llm.minhash import near_duplicates
 from cadastra.llm.packing import pack
 from cadastra.llm.rans import read_ids, write_ids
@@ -22,6 +23,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
