@@ -12,6 +12,7 @@ from cadastra.llm.licenses import scan_licenses
 from cadastra.llm.minhash import near_duplicates
 from cadastra.llm.packing import pack
 from cadastra.llm.rans import read_ids, write_ids
+from cadastra.llm.secrets import scan_secrets
 from cadastra.llm.toxicity import score_toxicity
 
 
@@ -27,6 +28,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
