@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.llm._io import Scratch
+from cadastra.llm.chat import rotate_perspectives
 from cadastra.llm.decontaminate import find_leaks
 from cadastra.llm.licenses import scan_licenses
+from cadastra.llm.line_quality import judge_quality
 from cadastra.llm.minhash import near_duplicates
 from cadastra.llm.packing import pack
 from cadastra.llm.rans import read_ids, write_ids
 from cadastra.llm.secrets import scan_secrets
 from cadastra.llm.toxicity import score_toxicity
+from cadastra.llm.url_rules import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +39,40 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "ids").base
     write_ids(_table(spark, sf_dir, "documents"), path)
     return read_ids(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "pipeline") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

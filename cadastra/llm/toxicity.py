@@ -120,6 +120,16 @@ def probability(model: Model, best: float, total: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _keep(model, threshold: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            good = [probability(m, *features(m, n, found)) < threshold for _, _, h, at in _words(batch.column(text_at)) for n, found in passages(m, h, at)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _apply(model, with_best: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -221,3 +231,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAM
     tmp.drop("sample", "counts")
     scored = source.mapInArrow(_apply(model, False), "key long, score double, n_passages long, passages string")
     return scored.select(F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", "passages")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose score is below threshold."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    tmp = Scratch(spark, "toxicity")
+    model = spark.sparkContext.broadcast(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, tmp, sample_rows=sample_rows))
+    tmp.drop("sample", "counts")
+    return docs.mapInArrow(_keep(model, threshold, docs.columns.index("text")), docs.schema)
