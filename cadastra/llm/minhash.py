@@ -30,6 +30,8 @@ BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 75
 _V = np.uint32
 #: 64-bit words of the bitmap that bounds an intersection from above.
 MAP_WORDS = 8
+#: So many ids at most (16 MB of longs) are broadcast to pick texts; beyond, the texts are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def _second(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
@@ -135,15 +137,17 @@ def near_duplicates(
     member = tmp.save(member.join(heads, "bucket"), "member")
 
     star = tmp.save(member.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    first = tmp.save(_confirm(source, star, words, percent), "first")
+    first = tmp.save(_confirm(source, star, tmp, "star", words, percent), "first")
     part = tmp.save(connected_components(first, tmp, "one"), "part")
 
     label = part.withColumnRenamed("component", "own")
     placed = member.join(label, "id", "left").withColumn("own", F.coalesce("own", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
     placed = tmp.save(placed.join(mixed.select("bucket"), "bucket"), "placed")
-    bounds = tmp.save(_bounds(source, placed.select("id").distinct(), words), "bounds")
-    second = tmp.save(_confirm(source, _rest(placed, bounds, label, percent), words, percent), "second")
+    apart = tmp.save(placed.select("id").distinct(), "apart")
+    bounds = tmp.save(_bounds(source, apart, words), "bounds")
+    rest = tmp.save(_rest(placed, bounds, label, percent), "rest")
+    second = tmp.save(_confirm(source, rest, tmp, "rest", words, percent), "second")
     both = first.union(second)
     whole = tmp.save(connected_components(both, tmp, "two"), "whole")
 
@@ -155,19 +159,22 @@ def near_duplicates(
     component = F.coalesce("least", "component", "doc_id")
     out = rows_out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
     out = tmp.save(out, "out")
-    tmp.drop("seen", "groups", "member", "star", "first", "part", "placed", "bounds", "second", "whole")
+    tmp.drop("seen", "groups", "member", "star", "first", "part", "placed", "apart", "bounds", "rest", "star-ids", "rest-ids", "second", "whole")
     return out
 
 
 def _needed(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """The full sets of the named documents; equal rows count once."""
-    texts = source.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    named = ids.withColumnRenamed("id", "doc_id")
+    if named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
+    texts = source.join(named, "doc_id", "left_semi")
     return texts.mapInArrow(_sets(words), "id long, shingles array<long>").where(F.size("shingles") > 0)
 
 
-def _confirm(source: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirm(source: DataFrame, pairs: DataFrame, tmp: Scratch, name: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; JVM set intersection."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = tmp.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     sets = _needed(source, ids, words)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
