@@ -24,7 +24,14 @@ FIXED = ["whitespace", "invisible-character", "unnormalized-unicode", "encoding-
 SCRIPTS = ["Latin", "Cyrillic", "Greek"]
 ROMAN = "^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 COLUMNS = ["kind", "level", "name_column", "code_a", "name_a", "code_b", "name_b", "suggested", "reason"]
-_NULL = F.lit(None).cast("string")
+
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _or_null(c: Column | None) -> Column:
+    return _null() if c is None else c
 
 
 def _bare(name: str | Column) -> Column:
@@ -36,8 +43,8 @@ def named(units: DataFrame) -> DataFrame:
     return units.where(F.col("code").isNotNull() & (_bare("name") != ""))
 
 
-def _finding(df: DataFrame, kind: str, reason: Column, suggested: Column = _NULL, code_b: Column = _NULL, name_b: Column = _NULL) -> DataFrame:
-    return df.select(F.lit(kind).alias("kind"), "level", "name_column", F.col("code").alias("code_a"), F.col("name").alias("name_a"), code_b.alias("code_b"), name_b.alias("name_b"), suggested.alias("suggested"), reason.alias("reason")).distinct()
+def _finding(df: DataFrame, kind: str, reason: Column, suggested: Column | None = None, code_b: Column | None = None, name_b: Column | None = None) -> DataFrame:
+    return df.select(F.lit(kind).alias("kind"), "level", "name_column", F.col("code").alias("code_a"), F.col("name").alias("name_a"), _or_null(code_b).alias("code_b"), _or_null(name_b).alias("name_b"), _or_null(suggested).alias("suggested"), reason.alias("reason")).distinct()
 
 
 def blank(units: DataFrame) -> DataFrame:
@@ -174,7 +181,7 @@ def report(found: DataFrame, units: DataFrame) -> DataFrame:
     hits = found.where(F.col("kind").isin(PER_NAME)).groupBy("kind", "level", "name_column").agg(F.countDistinct("code_a").alias("hits")).join(total, ["level", "name_column"])
     wide = hits.where((F.col("hits") > F.col("names") * ROLLUP_SHARE) & (F.col("hits") >= ROLLUP_ROWS))
     rows = found.join(wide.select("kind", "level", "name_column"), ["kind", "level", "name_column"], "left_anti")
-    rolled = wide.select("kind", "level", "name_column", *[_NULL.alias(c) for c in COLUMNS[3:-1]], F.concat(F.col("hits").cast("string"), F.lit(" of "), F.col("names").cast("string"), F.lit(" names of the column")).alias("reason"))
+    rolled = wide.select("kind", "level", "name_column", *[_null().alias(c) for c in COLUMNS[3:-1]], F.concat(F.col("hits").cast("string"), F.lit(" of "), F.col("names").cast("string"), F.lit(" names of the column")).alias("reason"))
     every = rows.select(*COLUMNS).unionByName(rolled)
     w = Window.partitionBy("kind").orderBy(*[F.col(c).asc_nulls_last() for c in COLUMNS[1:]])
     return every.select(F.concat("kind", F.lit("-"), F.row_number().over(w).cast("string")).alias("key"), *COLUMNS, F.when(F.col("kind").isin(ERRORS), "error").otherwise("warn").alias("severity"))
