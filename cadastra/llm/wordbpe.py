@@ -31,7 +31,7 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Encodes columns of texts. 2 ** bits units are remembered at most; most_ids bounds their ids."""
 
-    def __init__(self, path: str, bits: int = 22, most_ids: int = 16_000_000):
+    def __init__(self, path: str, bits: int = 21, most_ids: int = 8_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
@@ -39,8 +39,7 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         # Words of letters alone, normal already, need only the merges of the same file.
-        self.ascii, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.ascii.normalizer = self.letters.normalizer = None
+        self.ascii, self.letters = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bits, self.most_ids = bits, most_ids
@@ -78,7 +77,7 @@ class WordEncoder:
             n += len(found.ids)
         return at, sizes, np.concatenate(flat) if flat else np.zeros(0, self.dtype)
 
-    def encode(self, column: pa.Array, end: int, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array, end: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, offsets) of chunks of rows; end closes every document."""
         for a, b, data, off in _text.chunks(column, limit):
             raw = data.tobytes()
