@@ -200,9 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, tmp: Scratch, *, sample_rows: int
         return np.array([tuple(r) for r in got.collect()], float)
 
     x = measured()
-    clean_rows = x[(x[:, 0] == 0) & (x[:, 3] > 0)]
-    chance = model.rate * clean_rows[:, 3] - np.log(clean_rows[:, 4]) if len(clean_rows) else np.zeros(1)
-    model.scale = float(np.exp(np.clip(chance.mean() - 0.5772, -20, 5)))  # the mean of a Gumbel variable
+    clean_rows = x[x[:, 0] == 0]
+    hit = clean_rows[clean_rows[:, 3] > 0]
+    if len(hit):
+        chance = model.rate * hit[:, 3] - np.log(hit[:, 4])
+        model.scale = float(np.exp(np.clip(chance.mean() - 0.5772, -20, 5)))  # the mean of a Gumbel variable
+    else:  # no chance segment in all the clean words
+        model.scale = 1 / max(1.0, float(clean_rows[:, 4].sum()))
     x = measured()
     model.curve = _logistic(np.log1p(x[:, 1:3]), x[:, 0])
     return model
