@@ -1 +1,45 @@
-"""DuckDB SQL for the queries of this subpackage."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+op1_minhash = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5) t
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id
+), m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+op5_url_rules = rf"""
+WITH u AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), k(rule_host, rule_path, rule_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), f AS (
+    SELECT p.*, rule_host || rule_path AS rule, rule_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS r
+    FROM p LEFT JOIN k ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM f WHERE r = 1
+"""
+
+op7_perspectives = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), e AS (
+    SELECT t.conv_id, perspective, turn, role, text, CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS seat FROM t JOIN p ON p.conv_id = t.conv_id
+), h AS (SELECT *, '<|im_start|>' || seat || CASE WHEN seat = 'user' THEN ' name=' || role ELSE '' END || chr(10) AS head FROM e
+), z AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h
+), o AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM z)
+SELECT conv_id, perspective, turn, seat, rendered, "end" - length(rendered) AS start, "end", CASE WHEN seat = 'assistant' THEN "end" - length(rendered) + length(head) END AS mask_start, CASE WHEN seat = 'assistant' THEN "end" - 1 END AS mask_end FROM o
+"""
