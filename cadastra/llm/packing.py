@@ -131,4 +131,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     base = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # a row for each partition
     placed = order.join(base, "part").select("row", (F.col("base") + F.col("ahead")).alias("at"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return coded.select("row", "doc_id", "ids").join(placed, "row").select("doc_id", "ids", "at").mapInArrow(_cut(length, dtype, with_ids), schema)
+    # A merge join at any size: the smaller side grows with the rows, so it is not broadcast.
+    return coded.select("row", "doc_id", "ids").join(placed.hint("merge"), "row").select("doc_id", "ids", "at").mapInArrow(_cut(length, dtype, with_ids), schema)
