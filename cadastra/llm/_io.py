@@ -58,7 +58,7 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Ready this session's Python workers; bound its Arrow batches, as texts may be long."""
     ship(spark)
     spark.conf.set(_BATCH_ROWS, str(rows))

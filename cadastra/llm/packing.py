@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm._io import Scratch, small_batches
-from cadastra.llm.wordbpe import WordEncoder, binary_column, public_path
+from cadastra.llm.wordbpe import WordEncoder, binary_column, public_path, shared_encoder
 
 DIMENSIONS, BITS, FEATURES = 4, 10, 256
 
@@ -70,7 +70,7 @@ def curve_keys(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = WordEncoder(path), TaskContext.get().partitionId() << 33
+        encoder, row = shared_encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, ids, off in encoder.encode(batch.column(1), end):
                 cols = [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(curve_keys(ids, off)), pa.array(np.diff(off).astype(np.int64)), binary_column(ids, off)]

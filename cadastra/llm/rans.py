@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm._io import Scratch, small_batches
-from cadastra.llm.wordbpe import WordEncoder, binary_column, public_path
+from cadastra.llm.wordbpe import WordEncoder, binary_column, public_path, shared_encoder
 
 SCALE, LANES, SEGMENT_STEPS, BLOCK_IDS = 20, 4096, 128, 1 << 20
 _LOW = np.uint64(1 << 31)
@@ -120,7 +120,7 @@ class Coder:
 
 def _tokens(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, ahead = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, ahead = shared_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, ids, off in encoder.encode(batch.column(1), end):
                 n = np.diff(off).astype(np.int64)

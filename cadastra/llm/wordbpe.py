@@ -77,7 +77,7 @@ class WordEncoder:
             n += len(found.ids)
         return at, sizes, np.concatenate(flat) if flat else np.zeros(0, self.dtype)
 
-    def encode(self, column: pa.Array, end: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array, end: int, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, offsets) of chunks of rows; end closes every document."""
         for a, b, data, off in _text.chunks(column, limit):
             raw = data.tobytes()
@@ -126,6 +126,16 @@ class WordEncoder:
         return s, e, at + extra[at]
 
 
+_kept: dict[str, WordEncoder] = {}
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker: later tasks of a worker take over its table."""
+    if path not in _kept:
+        _kept[path] = WordEncoder(path)
+    return _kept[path]
+
+
 def binary_column(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """One binary value per document, over the bytes of ids."""
     width = ids.dtype.itemsize
