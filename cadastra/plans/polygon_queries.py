@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.functions.geometry import geo, register_geometry
-from cadastra.operators import polygons
+from cadastra.operators import package, polygons
 from cadastra.operators.boxes import BOX
 from cadastra.plans.views import view, with_views
 from cadastra.registry import query
@@ -74,3 +74,38 @@ def g36(spark, d):
 @query("G37_exterior_edges")
 def g37(spark, d):
     return polygons.exterior_edges(layer(spark, d, "units_a"), 0).select("fid", "level", geo("perimeter", "geom").alias("size"))
+
+
+_ZONED = "SELECT fid, 'Z' || CAST(floor(ymin / 40) AS BIGINT) AS adm1_code, 'Z' || CAST(floor(ymin / 40) AS BIGINT) || '-' || fid AS adm2_code, xmin, ymin, xmax, ymax FROM units_a"
+
+
+def _zoned(spark, d):
+    zone = F.concat(F.lit("Z"), F.floor(F.col("ymin") / 40).cast("string"))
+    return layer(spark, d, "units_a").withColumn("adm1_code", zone).withColumn("adm2_code", F.concat("adm1_code", F.lit("-"), F.col("fid").cast("string")))
+
+
+@query("G35_package_polygons", with_views(f"SELECT adm1_code, CAST(count(*) * 100 AS DOUBLE) AS area FROM ({_ZONED}) z GROUP BY adm1_code"))
+def g35(spark, d):
+    return package.level_polygons(_zoned(spark, d), 1, 2).select("adm1_code", F.round(geo("area", "geom"), 6).alias("area"))
+
+
+@query("G36_package_points", with_views(f"SELECT 1 AS level, count(DISTINCT adm1_code) AS n FROM ({_ZONED}) z UNION ALL SELECT 2, count(*) FROM units_a"))
+def g36_levels(spark, d):
+    return package.level_points(_zoned(spark, d), [1, 2]).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("G37_package_lines", with_views(f"WITH z AS ({_ZONED}) SELECT CASE WHEN a.adm1_code <> b.adm1_code THEN 1 ELSE 2 END AS level, count(*) AS n FROM z a JOIN z b ON a.fid < b.fid AND ((a.xmax = b.xmin AND a.ymin = b.ymin) OR (b.xmax = a.xmin AND a.ymin = b.ymin) OR (a.ymax = b.ymin AND a.xmin = b.xmin) OR (b.ymax = a.ymin AND a.xmin = b.xmin)) GROUP BY 1"))
+def g37_levels(spark, d):
+    lines = package.level_lines(_zoned(spark, d), [1, 2])
+    return lines.where("b_fid is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("G33_verify_export", with_views("SELECT 'invalid' AS kind, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'overlap', count(*) FROM units_b a JOIN units_b b ON a.fid < b.fid AND a.xmin < b.xmax AND a.xmax > b.xmin AND a.ymin < b.ymax AND a.ymax > b.ymin"))
+def g33(spark, d):
+    return package.verify_export(layer(spark, d, "units_b")).where("kind <> 'gap'")
+
+
+@query("G08_erosion", with_views("SELECT DISTINCT a.fid FROM units_b a JOIN units_b b ON a.fid > b.fid AND a.xmin < b.xmax AND a.xmax > b.xmin AND a.ymin < b.ymax AND a.ymax > b.ymin"))
+def g08(spark, d):
+    before = layer(spark, d, "units_b")
+    return polygons.eroded(before, polygons.clean_coverage(before))
