@@ -1,8 +1,9 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-Training, on a bounded sample of labelled rows: log-odds of each word between
-the classes under an informative Dirichlet prior (each distinct text counts
-once). Scoring, on every row: the linear-time algorithm of Ruzzo and Tompa finds
+Training, on a bounded sample of labelled rows of which near copies count once:
+log-odds of each word between the classes under an informative Dirichlet prior,
+over the documents that hold it; words whose likelihood ratio is not significant
+score nothing. Scoring, on every row: the linear-time algorithm of Ruzzo and Tompa finds
 all maximal segments of a text; each score is set against the extreme-value
 distribution of chance segments (Karlin-Altschul), and the normalised excess of
 the passages, fitted to the labels by a logistic curve, is the document's score.
@@ -28,10 +29,13 @@ from pyspark.sql import functions as F
 from cadastra.llm import _text
 from cadastra.llm._io import Scratch, small_batches
 from cadastra.llm.decontaminate import WORD
+from cadastra.llm.minhash import signatures
 
 #: At most so many labelled rows, those of least hash, are learnt from; at most so many words are kept.
 SAMPLE_ROWS, MOST_WORDS = 20_000, 50_000
-PRIOR_WORDS, LEAST_Z, DRIFT, THRESHOLD = 1000.0, 3.0, 0.05, 0.3
+PRIOR_WORDS, LEAST_Z, LEAST_ODDS, DRIFT, THRESHOLD = 1000.0, 4.5, 1.0, 0.05, 0.3
+#: Training texts that share any of so many MinHash coordinates count once.
+COPIES = 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,16 +88,39 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts by class of a few rows at a time; summed by Spark."""
+    """Documents that hold each word, by class, of a few rows at a time; summed by Spark."""
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
         for a, b, h, at in _words(batch.column(1)):
-            on = np.repeat(toxic[a:b], np.diff(at))
-            keys, place = np.unique(h, return_inverse=True)
+            doc = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(at))
+            _, once = np.unique(h ^ _text.mix64(doc + np.uint64(1)), return_index=True)
+            on = toxic[a:b][doc[once].astype(np.int64)]
+            keys, place = np.unique(h[once], return_inverse=True)
             n1, n = np.bincount(place[on], minlength=len(keys)), np.bincount(place, minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1.astype(np.int64)), pa.array((n - n1).astype(np.int64))], names=["word", "n1", "n0"])
 
 
+def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MinHash coordinates of texts with a shingle."""
+    for batch in batches:
+        for a, b, data, off in _text.chunks(batch.column(1)):
+            sets = _text.shingle_sets(_text.LOWER[data], off)
+            full = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+            sig = signatures([sets[i] for i in full], COPIES) if len(full) else np.zeros((0, COPIES), np.uint32)
+            keys = batch.column(0).slice(a, b - a).take(pa.array(full))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(sig[:, k].astype(np.int64)) for k in range(COPIES))], names=["key", *(f"m{k}" for k in range(COPIES))])
+
+
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """sample (toxic, text) with one text of each group that shares a coordinate: that of least hash."""
+    keyed = sample.withColumn("key", F.xxhash64("text"))
+    slim = keyed.select("key", "text").mapInArrow(_coordinates, "key long, " + ", ".join(f"m{k} long" for k in range(COPIES)))
+    names = ["key", *(f"m{k}" for k in range(COPIES))]
+    for k in range(COPIES):
+        slim = slim.groupBy(f"m{k}").agg(F.min(F.struct(*names)).alias("s")).select("s.*")
+    return keyed.join(slim.select("key"), "key", "left_semi").drop("key")
+
+
 def passages(model: Model, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """(words, maximal segments) of each document of a chunk."""
     low = np.minimum(np.searchsorted(model.keys, h), max(0, len(model.keys) - 1))
@@ -157,8 +184,12 @@ def _log_odds(keys: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndar
     prior = PRIOR_WORDS * (n1 + n0) / (all1 + all0)
     a1, a0 = n1 + prior, n0 + prior
     odds = np.log(a1 / (all1 + PRIOR_WORDS - a1)) - np.log(a0 / (all0 + PRIOR_WORDS - a0))
-    z = odds / np.sqrt(1 / a1 + 1 / a0)
-    keep = np.flatnonzero(np.abs(z) >= LEAST_Z)
+    both, whole = n1 + n0, all1 + all0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda n, mean: np.where(n > 0, n * np.log(n / mean), 0.0)
+        ratio = 2 * (part(n1, both * all1 / whole) + part(n0, both * all0 / whole))
+    z = np.sign(odds) * np.sqrt(np.maximum(ratio, 0))
+    keep = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS))
     keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")[:MOST_WORDS]]
     keep = keep[np.argsort(keys[keep])]
     share = a0[keep] / (all0 + PRIOR_WORDS)
@@ -181,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, tmp: Scratch, *, sample_rows: int
     known = known.where((F.col("low") == F.col("high")) & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("low") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").where("text is not null")  # sample_rows at most
-    sample = tmp.save(sample.dropDuplicates(["text"]), "sample")
+    sample = tmp.save(_one_of_copies(sample), "sample")
     counts = sample.mapInArrow(_count, "word long, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     counts = tmp.save(counts, "counts")
     sums = counts.agg(F.sum("n1"), F.sum("n0")).first()
