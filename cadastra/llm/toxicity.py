@@ -33,7 +33,9 @@ from cadastra.llm.minhash import signatures
 
 #: At most so many labelled rows, those of least hash, are learnt from; at most so many words are kept.
 SAMPLE_ROWS, MOST_WORDS = 20_000, 50_000
-PRIOR_WORDS, LEAST_Z, LEAST_ODDS, DRIFT, THRESHOLD = 1000.0, 4.5, 1.0, 0.05, 0.3
+#: The prior weighs so many words, or that share of the smaller class if it is less.
+PRIOR_WORDS, PRIOR_SHARE = 1000.0, 0.05
+LEAST_Z, LEAST_ODDS, DRIFT, THRESHOLD = 4.5, 1.0, 0.05, 0.3
 #: Training texts that share any of so many MinHash coordinates count once.
 COPIES = 3
 
@@ -180,10 +182,13 @@ def _apply(model, with_best: bool):
 
 def _log_odds(keys: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Significant log-odds, and the rate at which e to the scores has mean 1 in clean text."""
+    used = n1 + n0 > 0
+    keys, n1, n0 = keys[used], n1[used], n0[used]
     all1, all0 = n1.sum(), n0.sum()
-    prior = PRIOR_WORDS * (n1 + n0) / (all1 + all0)
+    weight = min(PRIOR_WORDS, PRIOR_SHARE * min(all1, all0))
+    prior = weight * (n1 + n0) / (all1 + all0)
     a1, a0 = n1 + prior, n0 + prior
-    odds = np.log(a1 / (all1 + PRIOR_WORDS - a1)) - np.log(a0 / (all0 + PRIOR_WORDS - a0))
+    odds = np.log(a1 / (all1 + weight - a1)) - np.log(a0 / (all0 + weight - a0))
     both, whole = n1 + n0, all1 + all0
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda n, mean: np.where(n > 0, n * np.log(n / mean), 0.0)
@@ -192,7 +197,7 @@ def _log_odds(keys: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndar
     keep = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS))
     keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")[:MOST_WORDS]]
     keep = keep[np.argsort(keys[keep])]
-    share = a0[keep] / (all0 + PRIOR_WORDS)
+    share = a0[keep] / (all0 + weight)
     scores = np.where(odds[keep] > 0, odds[keep] - DRIFT, np.maximum(odds[keep], -1.0) - DRIFT)
     rate = 1.0
     if (scores > 0).any():

@@ -155,7 +155,9 @@ def test_toxicity(spark, df, docs, labels, none):
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert toxicity.score_toxicity(none, labels).count() == 0
     assert {round(r.score, 6) for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
-    bad = spark.createDataFrame([(i, f"calm words number {i} here " * 3 + ("vile " * 3 if i % 3 == 0 else "")) for i in range(90)], "doc_id long, text string")
+    rng = random.Random(6)  # texts that are no copies of each other: those would count once
+    calm = lambda: " ".join(rng.choice(["calm", "word", "tree", "stone", "river", "cloud", "quiet", "green"]) for _ in range(25))
+    bad = spark.createDataFrame([(i, f"{calm()} {'vile ' if i % 3 == 0 else ''}{calm()}") for i in range(150)], "doc_id long, text string")
     tags = bad.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
     got = toxicity.score_toxicity(bad, tags).where("held_out").collect()
     assert got and all(r.predicted == int(r.doc_id % 3 == 0) for r in got)
