@@ -113,3 +113,17 @@ def test_infer_levels(spark):
 def test_checks_on_an_empty_table(spark):
     none = spark.createDataFrame([], "level int, name_column string, name_index int, code_column string, code string, parent_code string, name string, row_count long")
     assert names.run_checks(none).count() == 0 and codes.check_codes(none).count() == 0
+
+
+def test_code_update(spark):
+    from cadastra.operators.update import update_level
+
+    coded = "fid long, code string, name string, xmin double, ymin double, xmax double, ymax double"
+    old = spark.createDataFrame([(i, f"X-{i:02d}", n, *map(float, b)) for i, n, b in A], coded)
+    new = layer(spark, B)
+    parents = new.select("fid", F.lit("X").alias("parent_code"))
+    got = {(r.new_fid, r.old_code): (r.new_code, r.outcome) for r in update_level(old, new, parents, codes.CodeFormat("X", "-", 2)).collect()}
+    assert got[(1, "X-01")] == ("X-01", "retained")
+    assert {k for k, v in got.items() if v[1] == "retired"} == {(None, "X-03"), (None, "X-04"), (None, "X-06")}
+    fresh = {k: v[0] for k, v in got.items() if v[1] == "new"}
+    assert set(fresh) == {(2, "X-02"), (7, None), (81, "X-05"), (82, "X-05"), (9, None)} and sorted(fresh.values()) == [f"X-{n:02d}" for n in range(7, 12)]
