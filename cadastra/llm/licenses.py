@@ -2,7 +2,8 @@
 
 A text is reduced to its words (runs of ASCII digits, letters in lower case and
 characters above ASCII). Rules are regular expressions over whole words, each
-gated by a keyword. Where detections overlap, one that lies within another of
+gated by a keyword: a rule is tried where its keyword stands in the words, and
+nothing else is asked of a text. Where detections overlap, one that lies within another of
 the same or higher priority is suppressed; partly overlapping ones both stay.
 
 Defined cases: a null or empty text has no word and no label, score 0; equal
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 from cadastra.llm._native import lower_ascii, places
 
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-#: A text with none of these has no detection.
-GATES = ("licen", "copyright", "spdx", "gpl", "cc by", "cc-by", "cc0", "creative", "domain", "granted", "redistribut", "warrant", "bsd", "apache", "mozilla", "eclipse", "rights", "copyleft", "wtfpl")
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -43,7 +42,7 @@ PASSAGES = [
     ("mit", "granted", "permission is hereby granted free of charge(?: to)? any person"),
     ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
-    ("hpnd", "granted", "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose"),
     ("bsd", "redistribut", "redistribution and use in source and binary forms(?: with or without modification)? are permitted"),
     ("bsd-3-clause", "endorse", "neither the name of(?: [^ ]+){1,8} nor the names of its contributors may be used to endorse"),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software"),
@@ -63,27 +62,27 @@ PASSAGES = [
     ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
     ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
     ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? ?2 0"),
-    ("cddl-1.0", "cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
     ("boost-1.0", "boost", "distributed under the boost software license version 1 0"),
     ("unlicense", "domain", "this is free and unencumbered software released into the public domain"),
     ("zlib", "warrant", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("wtfpl", "public", "do what the fuck you want to public license"),
     ("public-domain", "domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("public-domain", "domain", "this (?:work|file|document|text) is in the public domain"),
-    ("cc0-1.0", "cc0", "to the extent possible under law(?: [^ ]+){1,10} waived all copyright"),
+    ("cc0-1.0", "waived", "to the extent possible under law(?: [^ ]+){1,10} waived all copyright"),
     ("proprietary", "rights", "all rights reserved"),
     ("proprietary", "confidential", "proprietary and confidential"),
-    ("proprietary", "permission", "unauthorized copying of this (?:file|document|work)(?: via any medium)? is strictly prohibited"),
+    ("proprietary", "unauthorized", "unauthorized copying of this (?:file|document|work)(?: via any medium)? is strictly prohibited"),
     ("no-redistribution", "redistribut", "(?:may|must|do) not (?:be )?redistributed?"),
     ("no-commercial", "commercial", "for non commercial (?:use|purposes) only"),
     ("no-derivatives", "derivative", "no derivative works(?: are)?(?: permitted| allowed)?"),
     ("openssl", "openssl", "this product includes software developed by the openssl project"),
     ("python-2.0", "python", "python software foundation license version 2"),
-    ("ofl-1.1", "sil", "licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "sil open", "licensed under the sil open font license version 1 1"),
     ("artistic-2.0", "artistic", "under the terms of the artistic license 2 0"),
     ("eupl-1.2", "eupl", "licensed under the eupl(?: version)? 1 2"),
     ("odbl-1.0", "database", "made available under the open database license"),
-    ("ms-pl", "microsoft", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-pl", "accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
 ]
 #: Families: label stem, keyword, names, versions ("" for none).
 FAMILIES = [
@@ -102,11 +101,11 @@ FAMILIES = [
 ]
 #: Licenses named without a version: label, keyword, names.
 NAMES = [
-    ("mit", "mit", "mit license"), ("mit", "mit", "mit licensed"), ("mit", "expat", "expat license"), ("bsd", "bsd", "bsd license"), ("bsd", "bsd", "bsd licensed"), ("bsd", "berkeley", "berkeley software distribution license"),
+    ("mit", "mit license", "mit license"), ("mit", "mit license", "mit licensed"), ("mit", "expat", "expat license"), ("bsd", "bsd", "bsd license"), ("bsd", "bsd", "bsd licensed"), ("bsd", "berkeley", "berkeley software distribution license"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: license)?"),
-    ("bsd-0-clause", "bsd", "(?:bsd 0 clause|0 clause bsd|zero clause bsd)(?: license)?"), ("isc", "isc", "isc license"), ("zlib", "zlib", "zlib license"), ("unlicense", "unlicense", "the unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
+    ("bsd-0-clause", "bsd", "(?:bsd 0 clause|0 clause bsd|zero clause bsd)(?: license)?"), ("isc", "isc license", "isc license"), ("zlib", "zlib", "zlib license"), ("unlicense", "unlicense", "the unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
     ("public-domain", "domain", "public domain"), ("cc0-1.0", "cc0", "cc0(?: 1 0)?"), ("ncsa", "illinois", "university of illinois(?: ncsa)? open source license"), ("json", "json", "json license"), ("beerware", "beer", "beer ware license"),
-    ("vim", "vim", "vim license"), ("ruby", "ruby", "ruby license"), ("curl", "curl", "curl license"), ("x11", "x11", "x11 license"), ("postgresql", "postgresql", "postgresql license"), ("openssl", "openssl", "openssl license"), ("icu", "icu", "icu license"),
+    ("vim", "vim", "vim license"), ("ruby", "ruby", "ruby license"), ("curl", "curl", "curl license"), ("x11", "x11", "x11 license"), ("postgresql", "postgresql", "postgresql license"), ("openssl", "openssl", "openssl license"), ("icu", "icu license", "icu license"),
     ("unicode", "unicode", "unicode(?: inc)? license(?: agreement)?"), ("w3c", "w3c", "w3c (?:software|document)(?: notice and)? license"), ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "microsoft", "microsoft reciprocal license"), ("copyleft", "copyleft", "copyleft"),
 ]
 SPDX = "mit isc zlib unlicense wtfpl 0bsd bsd-2-clause bsd-3-clause bsd-4-clause apache-1.1 apache-2.0 gpl-1.0 gpl-2.0 gpl-3.0 lgpl-2.0 lgpl-2.1 lgpl-3.0 agpl-3.0 mpl-1.1 mpl-2.0 epl-1.0 epl-2.0 cddl-1.0 cpl-1.0 bsl-1.0 artistic-2.0 eupl-1.2 osl-3.0 afl-3.0 cc0-1.0 cc-by-3.0 cc-by-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-nc-nd-4.0 odbl-1.0 ofl-1.1 python-2.0 postgresql ncsa sspl-1.0"
@@ -125,9 +124,9 @@ def rules() -> list[Rule]:
     words = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
     for short, long in words.items():
         spaced = short.replace("-", " ")
-        out += [Rule(f"cc-{short}-{v}", "cc", f"cc {spaced} {v.replace('.', ' ')}(?: international| unported)?", 2, 0.85) for v in ("2.0", "2.5", "3.0", "4.0")]
+        out += [Rule(f"cc-{short}-{v}", "cc by", f"cc {spaced} {v.replace('.', ' ')}(?: international| unported)?", 2, 0.85) for v in ("2.0", "2.5", "3.0", "4.0")]
         out += [Rule(f"cc-{short}-{v}", "creative", f"creative commons {long} {v.replace('.', ' ')}(?: international| unported)?(?: license)?", 2, 0.85) for v in ("3.0", "4.0")]
-        out += [Rule(f"cc-{short}", "cc", f"cc {spaced}", 1, 0.6), Rule(f"cc-{short}", "creative", f"creative commons {long}", 1, 0.6)]
+        out += [Rule(f"cc-{short}", "cc by", f"cc {spaced}", 1, 0.6), Rule(f"cc-{short}", "creative", f"creative commons {long}", 1, 0.6)]
     out.append(Rule("cc", "creative", "creative commons(?: license)?", 1, 0.5))
     out += [Rule(name, "spdx", "spdx license identifier " + re.sub(r"[-.]", " ", name) + "(?: only| or later)?", 3, 0.99) for name in SPDX.split()]
     return out + [Rule(a, k, f"(?:{n})", 1, 0.6) for a, k, n in NAMES]
@@ -145,23 +144,25 @@ def _words(x: Column) -> Column:
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own: list[Rule] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     table = rules() if own is None else own
-    literal = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword.replace(" ", "  ")).alias("keyword"), F.lit(wrapped(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for k, r in enumerate(table)])
+    by_keyword: dict[str, list[Column]] = {}
+    for k, r in enumerate(table):
+        rule = F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(wrapped(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
+        by_keyword.setdefault(r.keyword.replace(" ", "  "), []).append(rule)
+    literal = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
     lower = docs.select(F.col(id_col).cast("long").alias("doc_id"), lower_ascii(F.col(text_col)).alias("lower"))
-    gate = F.contains("lower", F.lit(GATES[0]))
-    for g in GATES[1:]:
-        gate = gate | F.contains("lower", F.lit(g))
     parts = F.regexp_extract_all("lower", F.lit(WORDS), F.lit(0))
-    text = F.when(gate, F.concat(F.lit(" "), F.array_join(parts, "  "), F.lit(" "))).otherwise(F.lit(""))
+    text = F.concat(F.lit(" "), F.array_join(parts, "  "), F.lit(" "))
     counted = lower.select("doc_id", F.regexp_count("lower", F.lit(WORDS)).cast("long").alias("n_words"), text.alias("words"))
 
     def detect(r: Column) -> Column:
         found = places(F.col("words"), r["pattern"], measure=_words)
         return F.transform(found, lambda m: F.struct(m["at"].alias("at"), (-m["to"]).alias("back"), (-r["priority"]).alias("rank"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight")))
 
-    hits = F.array_sort(F.flatten(F.transform(F.filter(literal, lambda r: F.contains(F.col("words"), r["keyword"])), detect)))
-    none = F.expr("cast(array() as array<struct<at:int,back:int,rank:int,rule:int,label:string,weight:double>>)")
-    base = [F.when(F.col("words") == "", F.expr("cast(array() as array<int>)")).otherwise(F.transform(places(F.col("words"), F.lit(wrapped(p)), measure=_words), lambda m: m["at"])).alias(f"base_{k}") for k, (_, p) in enumerate(BASE)]
-    seen = counted.select("doc_id", "n_words", F.when(F.col("words") == "", none).otherwise(hits).alias("hits"), *base)
+    tried = F.flatten(F.transform(F.filter(literal, lambda g: F.contains(F.col("words"), g["keyword"])), lambda g: g["rules"]))
+    hits = F.array_sort(F.flatten(F.transform(tried, detect)))
+    no_place = F.expr("cast(array() as array<int>)")
+    base = [F.when(F.contains("words", F.lit(wrapped(p))), F.transform(places(F.col("words"), F.lit(wrapped(p)), measure=_words), lambda m: m["at"])).otherwise(no_place).alias(f"base_{k}") for k, (_, p) in enumerate(BASE)]
+    seen = counted.select("doc_id", "n_words", hits.alias("hits"), *base)
 
     # Sorted by start, longest first: a detection is inside an earlier one of its priority or more if that one's end reaches its own.
     start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in (1, 2, 3)], F.expr("cast(array() as array<string>)").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n"))
