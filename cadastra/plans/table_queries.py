@@ -304,6 +304,12 @@ def t15(spark, d):
     return view(spark, d, "src_match").groupBy("iso").pivot("source", [1, 2, 3]).agg(F.sum("units"))
 
 
+@query("T15_level_pivot_whole")  # T15_level_pivot and its SQL have levels 1 to 3; here is every level that occurs
+def t15_whole(spark, d):
+    per = view(spark, d, "src_match").groupBy("iso", "source").agg(F.sum("units").alias("units"))
+    return per.groupBy("iso").agg(F.array_sort(F.collect_list(F.struct(F.col("source").alias("level"), "units"))).alias("levels"))
+
+
 @query("T16_hub_conflict", with_views("SELECT iso, source FROM (SELECT *, row_number() OVER (PARTITION BY iso ORDER BY matched DESC, source) AS r, lead(matched) OVER (PARTITION BY iso ORDER BY matched DESC, source) AS nxt FROM src_match) t WHERE r = 1 AND (nxt IS NULL OR matched >= 2.0 * nxt)"))
 def t16(spark, d):
     return status.hub_conflicts(view(spark, d, "src_match"), "iso", "source", "matched")
