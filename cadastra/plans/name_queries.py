@@ -83,5 +83,5 @@ def u01f(spark: SparkSession, d: str) -> DataFrame:
     from cadastra.functions.text import clean_name
 
     ship(spark)
-    docs = spark.read.parquet(f"{d}/documents.parquet").where(~F.col("text").rlike(MOJIBAKE))
+    docs = spark.read.parquet(f"{d}/documents.parquet")  # the SQL leaves out null texts and those of the repair step, which it lacks
     return docs.select("doc_id", clean_name("text").alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))

@@ -16,3 +16,12 @@ def test_level_pivot_has_every_level(spark):
         per[r.l_linenumber] = per.get(r.l_linenumber, 0) + 1
     got = {r.iso: {x.level: x.units for x in r.levels} for r in QUERIES["T15_level_pivot_whole"](spark, SF).collect()}
     assert got == want and {n for v in got.values() for n in v} == set(range(1, 8))
+
+
+def test_clean_text_keeps_texts_to_repair(spark, tmp_path):
+    import hashlib
+
+    cases = {1: (None, None), 2: ("Caf\u00c3\u00a9  del mar ", "Caf\u00e9 del mar"), 7: ("Caf\u00c3\u00a9  del\u00a0mar ", "Caf\u00c3\u00a9 del mar"), 3: ("die Stra\u00df\u201d  hier", "die Stra\u00df\u201d hier"), 4: ("NO\u00cb\u2014 x\u200b", "NO\u00cb\u2014 x"), 5: (" plain  text", "plain text"), 6: ("", "")}
+    spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.digest) for r in QUERIES["U01f_clean_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: (None, None) if t is None else (len(t), hashlib.md5(t.encode()).hexdigest()) for k, (_, t) in cases.items()}
