@@ -25,3 +25,34 @@ def test_clean_text_keeps_texts_to_repair(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n, r.digest) for r in QUERIES["U01f_clean_text"](spark, str(tmp_path)).collect()}
     assert got == {k: (None, None) if t is None else (len(t), hashlib.md5(t.encode()).hexdigest()) for k, (_, t) in cases.items()}
+
+
+def holes(boxes: list[tuple[int, int, int, int]]) -> list[set[tuple[int, int]]]:
+    """Empty unit cells enclosed by the boxes, joined by their sides."""
+    have = {(x, y) for x0, y0, x1, y1 in boxes for x in range(x0, x1) for y in range(y0, y1)}
+    xs, ys = [x for x, _ in have], [y for _, y in have]
+    left = {(x, y) for x in range(min(xs) - 1, max(xs) + 2) for y in range(min(ys) - 1, max(ys) + 2)} - have
+    out = []
+    while left:
+        todo = [left.pop()]
+        part = set(todo)
+        while todo:
+            x, y = todo.pop()
+            near = {(x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)} & left
+            left -= near
+            part |= near
+            todo += near
+        if (min(xs) - 1, min(ys) - 1) not in part:
+            out.append(part)
+    return out
+
+
+def boxes_of(spark, name):
+    return [tuple(int(v) for v in r) for r in view(spark, SF, name).select("xmin", "ymin", "xmax", "ymax").collect()]
+
+
+def test_verify_export_counts_gaps(spark):
+    b = boxes_of(spark, "units_b")
+    overlaps = sum(p[0] < q[2] and p[2] > q[0] and p[1] < q[3] and p[3] > q[1] for i, p in enumerate(b) for q in b[:i])
+    got = {r.kind: r.n for r in QUERIES["G33_verify_export_whole"](spark, SF).collect()}
+    assert got == {"invalid": 0, "overlap": overlaps, "gap": len(holes(b))} and got["gap"] > 0
