@@ -67,6 +67,11 @@ def l04(spark, d):
     return view(spark, d, "hier").where("adm3_code is not null").select("adm3_code").distinct().orderBy("adm3_code").limit(100)  # the sample of a format report
 
 
+@query("L04_sorted_sample_whole")  # L04_sorted_sample and its SQL stop at 100
+def l04_whole(spark, d):
+    return view(spark, d, "hier").where("adm3_code is not null").select("adm3_code").distinct().orderBy("adm3_code").limit(10_000)  # the engine's SAMPLE_LIMIT
+
+
 @query("C14_code_update")
 def c14(spark, d):
     old, new, zones = (view(spark, d, n) for n in ("units_a", "units_b", "overlay"))

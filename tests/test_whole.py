@@ -56,3 +56,9 @@ def test_verify_export_counts_gaps(spark):
     overlaps = sum(p[0] < q[2] and p[2] > q[0] and p[1] < q[3] and p[3] > q[1] for i, p in enumerate(b) for q in b[:i])
     got = {r.kind: r.n for r in QUERIES["G33_verify_export_whole"](spark, SF).collect()}
     assert got == {"invalid": 0, "overlap": overlaps, "gap": len(holes(b))} and got["gap"] > 0
+
+
+def test_sample_reaches_the_limit_of_the_engine(spark):
+    want = sorted({r.adm3_code for r in view(spark, SF, "hier").where("adm3_code is not null").collect()})
+    got = [r.adm3_code for r in QUERIES["L04_sorted_sample_whole"](spark, SF).collect()]
+    assert 100 < len(want) <= 10_000 and got == want
