@@ -62,3 +62,9 @@ def test_sample_reaches_the_limit_of_the_engine(spark):
     want = sorted({r.adm3_code for r in view(spark, SF, "hier").where("adm3_code is not null").collect()})
     got = [r.adm3_code for r in QUERIES["L04_sorted_sample_whole"](spark, SF).collect()]
     assert 100 < len(want) <= 10_000 and got == want
+
+
+def test_grid_gaps_of_the_whole_layer(spark):
+    want = sorted((len(h), min(x for x, _ in h) * 10, min(y for _, y in h) * 10, max(x for x, _ in h) * 10 + 10, max(y for _, y in h) * 10 + 10) for h in holes([tuple(v // 10 for v in b) for b in boxes_of(spark, "units_a")]))
+    got = sorted((r.n_cells, r.xmin, r.ymin, r.xmax, r.ymax) for r in QUERIES["G01_grid_gaps_whole"](spark, SF).collect())
+    assert want and got == want
