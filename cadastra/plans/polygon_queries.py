@@ -100,6 +100,12 @@ def g37_levels(spark, d):
     return lines.where("b_fid is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("G37_package_lines_whole")  # G37_package_lines and its SQL leave out the outlines (level 0) and the lengths
+def g37_whole(spark, d):
+    lines = package.level_lines(_zoned(spark, d), [1, 2])
+    return lines.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(geo("perimeter", "geom")), 6).alias("size"))
+
+
 @query("G33_verify_export", with_views("SELECT 'invalid' AS kind, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'overlap', count(*) FROM units_b a JOIN units_b b ON a.fid < b.fid AND a.xmin < b.xmax AND a.xmax > b.xmin AND a.ymin < b.ymax AND a.ymax > b.ymin"))
 def g33(spark, d):
     return package.verify_export(layer(spark, d, "units_b")).where("kind <> 'gap'")

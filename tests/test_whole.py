@@ -68,3 +68,15 @@ def test_grid_gaps_of_the_whole_layer(spark):
     want = sorted((len(h), min(x for x, _ in h) * 10, min(y for _, y in h) * 10, max(x for x, _ in h) * 10 + 10, max(y for _, y in h) * 10 + 10) for h in holes([tuple(v // 10 for v in b) for b in boxes_of(spark, "units_a")]))
     got = sorted((r.n_cells, r.xmin, r.ymin, r.xmax, r.ymax) for r in QUERIES["G01_grid_gaps_whole"](spark, SF).collect())
     assert want and got == want
+
+
+def test_package_lines_with_outlines(spark):
+    b = set(boxes_of(spark, "units_a"))
+    shared, outline = {1: 0, 2: 0}, []
+    for x0, y0, x1, y1 in b:
+        east, north = (x0 + 10, y0, x1 + 10, y1) in b, (x0, y0 + 10, x1, y1 + 10) in b
+        shared[2] += east + (north and y0 // 40 == (y0 + 10) // 40)
+        shared[1] += north and y0 // 40 != (y0 + 10) // 40
+        outline.append(4 - east - north - ((x0 - 10, y0, x1 - 10, y1) in b) - ((x0, y0 - 10, x1, y1 - 10) in b))
+    got = {r.level: (r.n, r["size"]) for r in QUERIES["G37_package_lines_whole"](spark, SF).collect()}
+    assert got == {0: (sum(n > 0 for n in outline), 10.0 * sum(outline))} | {k: (n, 10.0 * n) for k, n in shared.items() if n}
