@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.operators import codes, dissolve, hierarchy, names, topology
+from cadastra.operators import codes, dissolve, hierarchy, names, polygons, topology
+from cadastra.plans.polygon_queries import layer
 from cadastra.plans.views import view, with_views
 from cadastra.registry import query
 
@@ -54,5 +58,7 @@ def n15(spark, d):
     h, units = view(spark, d, "hier"), view(spark, d, "names")
     schema = hierarchy.schema_findings(h, [1, 2, 3]).select("kind", F.lit("error").alias("severity"))
     found = codes.check_codes(dissolve.level_units(h, [1, 2, 3])).select("kind", codes.severity(F.col("kind")).alias("severity"))
-    topo = topology.issue_table(overlap=topology.overlap_regions(view(spark, d, "units_b"))).select("kind", F.lit("error").alias("severity"))
+    b = view(spark, d, "units_b")
+    regions = {"overlap": topology.overlap_regions(b), "gap": polygons.gaps(layer(spark, d, "units_b")), "micro-polygon": topology.micro_units(b, 6.0)}
+    topo = reduce(DataFrame.unionByName, [r.select(F.lit(kind).alias("kind"), F.lit(topology.severity(kind)).alias("severity")) for kind, r in regions.items()])
     return topology.validate_summary(schema=schema, topology=topo, code=found, name=names.report(names.run_checks(units), units).select("kind", "severity"))

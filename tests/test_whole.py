@@ -80,3 +80,11 @@ def test_package_lines_with_outlines(spark):
         outline.append(4 - east - north - ((x0 - 10, y0, x1 - 10, y1) in b) - ((x0, y0 - 10, x1, y1 - 10) in b))
     got = {r.level: (r.n, r["size"]) for r in QUERIES["G37_package_lines_whole"](spark, SF).collect()}
     assert got == {0: (sum(n > 0 for n in outline), 10.0 * sum(outline))} | {k: (n, 10.0 * n) for k, n in shared.items() if n}
+
+
+def test_validate_summary_has_gaps_and_micro_units(spark):
+    b = boxes_of(spark, "units_b")
+    overlaps = sum(p[0] < q[2] and p[2] > q[0] and p[1] < q[3] and p[3] > q[1] for i, p in enumerate(b) for q in b[:i])
+    micro = sum(min(x1 - x0, y1 - y0) <= 6 and (x1 - x0) * (y1 - y0) <= 6 * (x1 - x0 + y1 - y0) for x0, y0, x1, y1 in b)
+    got = {(r.kind, r.severity): r["count"] for r in QUERIES["N15_validate_summary"](spark, SF).where("stage = 'topology'").collect()}
+    assert got == {("overlap", "error"): overlaps, ("gap", "warn"): len(holes(b)), ("micro-polygon", "error"): micro}
