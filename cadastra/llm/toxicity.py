@@ -1,18 +1,25 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-Training, on a bounded sample of labelled rows of which near copies count once:
-log-odds of each word between the classes under an informative Dirichlet prior,
-over the documents that hold it; words whose likelihood ratio is not significant
-score nothing. Scoring, on every row: the linear-time algorithm of Ruzzo and Tompa finds
-all maximal segments of a text; each score is set against the extreme-value
+Training, on a bounded sample of labelled rows of which near copies of one class
+count once: log-odds of each word between the classes under an informative
+Dirichlet prior, over the documents that hold it, shrunk by the probability that
+the word differs between the classes at all. That probability comes from a
+mixture over all words (equal shares, or a share of its own), whose weight is
+fitted to the counts, so it follows the number of documents and of words.
+Scoring, on every row: the linear-time algorithm of Ruzzo and Tompa finds all
+maximal segments of a text; each score is set against the extreme-value
 distribution of chance segments (Karlin-Altschul), and the normalised excess of
 the passages, fitted to the labels by a logistic curve, is the document's score.
+Calibration and curve see only scores of documents that a model did not learn
+from (one model for each fold).
 
 Defined cases: a null or empty text has no passage and gets the lowest score; a
 null doc_id is scored and not held out; labels that are null, or contradict each
 other for one doc_id, are left out of training; without labels of both classes
-every score is the share of toxic labels (0 without any); repeated rows are
-scored one by one; other columns of the input are not read.
+nothing can be learnt and every score is 0; repeated rows are scored one by one;
+a text of any length is scanned whole, and a long one needs more excess for the
+same score, as chance segments grow with its words; segments that tie are all
+found, equal texts get equal scores; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +36,17 @@ from pyspark.sql import functions as F
 from cadastra.llm import _text
 from cadastra.llm._io import Scratch, small_batches
 from cadastra.llm.decontaminate import WORD
-from cadastra.llm.minhash import signatures
+from cadastra.llm.minhash import band_keys, signatures
 
-#: At most so many labelled rows, those of least hash, are learnt from; at most so many words are kept.
-SAMPLE_ROWS, MOST_WORDS = 20_000, 50_000
+#: At most so many labelled rows, those of least hash, are learnt from.
+SAMPLE_ROWS = 20_000
 #: The prior weighs so many words, or that share of the smaller class if it is less.
 PRIOR_WORDS, PRIOR_SHARE = 1000.0, 0.05
-LEAST_Z, LEAST_ODDS, DRIFT, THRESHOLD = 4.5, 1.0, 0.05, 0.3
-#: Training texts that share any of so many MinHash coordinates count once.
-COPIES = 3
+#: A word scores if its shrunk log-odds reach LEAST_ODDS; every other word costs DRIFT.
+LEAST_ODDS, DRIFT, THRESHOLD = 1.0, 0.05, 0.3
+#: Training texts of one class that share a band of so many MinHash coordinates count once (97 % of pairs at similarity 0.9, 1 % at 0.3).
+COPY_BANDS, COPY_ROWS = 4, 5
+FOLDS = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,6 +54,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Count columns: documents of class 0 and 1 of each fold.
+COUNTS = [f"f{k}n{c}" for k in range(FOLDS) for c in (0, 1)]
+
+
 @dataclass
 class Model:
     """Scored words (sorted hashes), extreme-value parameters, and the logistic curve over the passages' excess."""
@@ -90,37 +103,38 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each word, by class, of a few rows at a time; summed by Spark."""
+    """Documents that hold each word, by fold and class, of a few rows at a time; summed by Spark."""
     for batch in batches:
-        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b, h, at in _words(batch.column(1)):
+        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * 2 + toxic
+        for a, b, h, at in _words(batch.column(2)):
             doc = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(at))
             _, once = np.unique(h ^ _text.mix64(doc + np.uint64(1)), return_index=True)
-            on = toxic[a:b][doc[once].astype(np.int64)]
             keys, place = np.unique(h[once], return_inverse=True)
-            n1, n = np.bincount(place[on], minlength=len(keys)), np.bincount(place, minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1.astype(np.int64)), pa.array((n - n1).astype(np.int64))], names=["word", "n1", "n0"])
+            n = np.bincount(place * (2 * FOLDS) + group[a:b][doc[once].astype(np.int64)], minlength=len(keys) * 2 * FOLDS).reshape(len(keys), 2 * FOLDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(n[:, k].astype(np.int64)) for k in range(2 * FOLDS))], names=["word", *COUNTS])
 
 
-def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MinHash coordinates of texts with a shingle."""
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys of texts with a shingle."""
     for batch in batches:
-        for a, b, data, off in _text.chunks(batch.column(1)):
+        for a, b, data, off in _text.chunks(batch.column(2)):
             sets = _text.shingle_sets(_text.LOWER[data], off)
             full = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
-            sig = signatures([sets[i] for i in full], COPIES) if len(full) else np.zeros((0, COPIES), np.uint32)
-            keys = batch.column(0).slice(a, b - a).take(pa.array(full))
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(sig[:, k].astype(np.int64)) for k in range(COPIES))], names=["key", *(f"m{k}" for k in range(COPIES))])
+            sig = signatures([sets[i] for i in full], COPY_BANDS * COPY_ROWS) if len(full) else np.zeros((0, COPY_BANDS * COPY_ROWS), np.uint32)
+            bands = band_keys(sig, COPY_BANDS, COPY_ROWS)
+            own = [batch.column(c).slice(a, b - a).take(pa.array(full)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(bands[:, k]) for k in range(COPY_BANDS))], names=["key", "toxic", *(f"m{k}" for k in range(COPY_BANDS))])
 
 
 def _one_of_copies(sample: DataFrame) -> DataFrame:
-    """sample (toxic, text) with one text of each group that shares a coordinate: that of least hash."""
-    keyed = sample.withColumn("key", F.xxhash64("text"))
-    slim = keyed.select("key", "text").mapInArrow(_coordinates, "key long, " + ", ".join(f"m{k} long" for k in range(COPIES)))
-    names = ["key", *(f"m{k}" for k in range(COPIES))]
-    for k in range(COPIES):
-        slim = slim.groupBy(f"m{k}").agg(F.min(F.struct(*names)).alias("s")).select("s.*")
-    return keyed.join(slim.select("key"), "key", "left_semi").drop("key")
+    """sample (toxic, text) with one text of each class for each group that shares a band: that of least hash."""
+    keyed = sample.withColumn("key", F.xxhash64("text", "toxic"))
+    slim = keyed.select("key", "toxic", "text").mapInArrow(_bands, "key long, toxic int, " + ", ".join(f"m{k} long" for k in range(COPY_BANDS)))
+    names = ["key", "toxic", *(f"m{k}" for k in range(COPY_BANDS))]
+    for k in range(COPY_BANDS):
+        slim = slim.groupBy(F.col("toxic").alias("class"), f"m{k}").agg(F.min(F.struct(*names)).alias("s")).select("s.*")
+    return keyed.join(slim.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def passages(model: Model, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -159,46 +173,75 @@ def _keep(model, threshold: float, text_at: int):
     return run
 
 
-def _apply(model, with_best: bool):
+def _apply(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             out: list[tuple] = []
             for _, _, h, at in _words(batch.column(1)):
                 for n, found in passages(m, h, at):
-                    best, total = features(m, n, found)
-                    if with_best:
-                        out.append((best, total, max((s for *_, s in found), default=0.0), n))
-                    else:
-                        good = [(a, b + 1) for a, b, s in found if m.rate * s > math.log(max(m.scale * n, 1.0))]
-                        out.append((probability(m, best, total), len(good), ",".join(f"{a}:{b}" for a, b in good)))
-            names = ["best", "total", "top", "n"] if with_best else ["score", "n_passages", "passages"]
-            types = [pa.float64(), pa.float64(), pa.float64(), pa.int64()] if with_best else [pa.float64(), pa.int64(), pa.string()]
-            columns = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["key", *names])
+                    good = [(a, b + 1) for a, b, s in found if m.rate * s > math.log(max(m.scale * n, 1.0))]
+                    out.append((probability(m, *features(m, n, found)), len(good), ",".join(f"{a}:{b}" for a, b in good)))
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.string())))], names=["key", "score", "n_passages", "passages"])
+
+    return run
+
+
+def _measure(models):
+    """Features of each training row under the model that has not seen its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            fold = batch.column(1).to_pylist()
+            for a, _, h, at in _words(batch.column(2)):
+                for d in range(len(at) - 1):
+                    m = models.value[fold[a + d]]
+                    n, found = next(passages(m, h[at[d] : at[d + 1]], np.array([0, at[d + 1] - at[d]])))
+                    out.append((*features(m, n, found), m.rate * max((s for *_, s in found), default=0.0), n))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.float64(),) * 3 + (pa.int64(),)))], names=["toxic", "best", "total", "top", "n"])
 
     return run
 
 
-def _log_odds(keys: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Significant log-odds, and the rate at which e to the scores has mean 1 in clean text."""
-    used = n1 + n0 > 0
-    keys, n1, n0 = keys[used], n1[used], n0[used]
-    all1, all0 = n1.sum(), n0.sum()
+_ln_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def differing(n1: np.ndarray, n0: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Probability that a word with these counts has a share of toxic documents of its own; words counts those words.
+
+    A mixture of two binomials, the common share and a uniformly distributed
+    one; its weight is fitted by expectation maximisation. Words of one document
+    tell nothing of the weight and get 0.
+    """
+    n1, n0 = n1.astype(float), n0.astype(float)
+    share = (n1 * words).sum() / ((n1 + n0) * words).sum()
+    own = _ln_gamma(n1 + 1) + _ln_gamma(n0 + 1) - _ln_gamma(n1 + n0 + 2)
+    factor = np.exp(np.clip(own - n1 * math.log(share) - n0 * math.log(1 - share), -600, 600))
+    words = np.where(n1 + n0 > 1, words, 0)
+    weight = 0.01
+    for _ in range(100 if words.sum() else 0):
+        weight = min(max((words * weight * factor / (1 - weight + weight * factor)).sum() / words.sum(), 1e-9), 0.5)
+    return np.where(n1 + n0 > 1, weight * factor / (1 - weight + weight * factor), 0.0)
+
+
+def word_scores(n1: np.ndarray, n0: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, float]:
+    """Scores of words with these counts (0: not scored), and the rate at which e to the scores has mean 1 in clean text.
+
+    Log-odds under a Dirichlet prior of the words' own shares, times the
+    probability that the word differs between the classes.
+    """
+    all1, all0 = float((n1 * words).sum()), float((n0 * words).sum())
     weight = min(PRIOR_WORDS, PRIOR_SHARE * min(all1, all0))
     prior = weight * (n1 + n0) / (all1 + all0)
     a1, a0 = n1 + prior, n0 + prior
     odds = np.log(a1 / (all1 + weight - a1)) - np.log(a0 / (all0 + weight - a0))
-    both, whole = n1 + n0, all1 + all0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = lambda n, mean: np.where(n > 0, n * np.log(n / mean), 0.0)
-        ratio = 2 * (part(n1, both * all1 / whole) + part(n0, both * all0 / whole))
-    z = np.sign(odds) * np.sqrt(np.maximum(ratio, 0))
-    keep = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS))
-    keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")[:MOST_WORDS]]
-    keep = keep[np.argsort(keys[keep])]
-    share = a0[keep] / (all0 + weight)
-    scores = np.where(odds[keep] > 0, odds[keep] - DRIFT, np.maximum(odds[keep], -1.0) - DRIFT)
+    odds *= differing(n1, n0, words)
+    on = np.abs(odds) >= LEAST_ODDS
+    scores = np.where(on, np.maximum(odds, -1.0) - DRIFT, 0.0)
+    share = np.where(on, words * a0 / (all0 + weight), 0.0)
     rate = 1.0
     if (scores > 0).any():
         low, high = 1e-6, 50.0
@@ -207,7 +250,35 @@ def _log_odds(keys: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndar
             with np.errstate(over="ignore"):
                 mean = (share * np.exp(rate * scores)).sum() + (1 - share.sum()) * math.exp(-rate * DRIFT)
             low, high = (low, rate) if mean > 1 else (rate, high)
-    return keys[keep], scores, rate
+    return scores, rate
+
+
+def _models(counts: DataFrame) -> list[Model]:
+    """A model without each fold, and at the end one of all rows; empty where a class is missing.
+
+    Words of equal counts score alike, so the driver sees the distinct pairs of
+    counts and the words that score, never the vocabulary.
+    """
+    spark = counts.sparkSession
+    total = [sum((F.col(f"f{k}n{c}") for k in range(FOLDS)), F.lit(0)) for c in (0, 1)]
+    less = [F.struct(F.lit(k).cast("int").alias("model"), *[(t - (F.col(f"f{k}n{c}") if k < FOLDS else F.lit(0))).cast("long").alias(f"n{c}") for c, t in enumerate(total)]) for k in range(FOLDS + 1)]
+    each = counts.select("word", F.explode(F.array(*less)).alias("m")).select("word", "m.*").where("n0 + n1 > 0")
+    pairs = each.groupBy("model", "n1", "n0").agg(F.count(F.lit(1)).alias("words")).orderBy("model", "n1", "n0").collect()
+    rates, scored = {}, []
+    for k in range(FOLDS + 1):
+        n1, n0, words = (np.array([r[c] for r in pairs if r.model == k], np.int64) for c in ("n1", "n0", "words"))
+        if (n1 * words).sum() and (n0 * words).sum():
+            scores, rates[k] = word_scores(n1, n0, words)
+            scored += [(k, int(a), int(b), float(s)) for a, b, s in zip(n1, n0, scores) if s]
+    table = F.broadcast(spark.createDataFrame(scored, "model int, n1 long, n0 long, score double"))  # distinct pairs of counts
+    rows = each.join(table, ["model", "n1", "n0"]).select("model", "word", "score").toArrow()
+    model, word, score = (rows.column(c).to_numpy() for c in ("model", "word", "score"))
+    out = []
+    for k in range(FOLDS + 1):
+        keys = word[model == k].view(np.uint64)
+        order = np.argsort(keys)
+        out.append(Model(keys[order], score[model == k][order], rates.get(k, 1.0)))
+    return out if FOLDS in rates else []
 
 
 def train(docs: DataFrame, labels: DataFrame, tmp: Scratch, *, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -217,35 +288,29 @@ def train(docs: DataFrame, labels: DataFrame, tmp: Scratch, *, sample_rows: int
     known = known.where((F.col("low") == F.col("high")) & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("low") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").where("text is not null")  # sample_rows at most
-    sample = tmp.save(_one_of_copies(sample), "sample")
-    counts = sample.mapInArrow(_count, "word long, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    counts = tmp.save(counts, "counts")
-    sums = counts.agg(F.sum("n1"), F.sum("n0")).first()
-    share = sample.agg(F.avg("toxic")).first()[0] or 0.0
-    if not sums[0] or not sums[1]:
-        base = math.log(min(max(share, 1e-9), 1 - 1e-9) / (1 - min(max(share, 1e-9), 1 - 1e-9)))
-        return Model(np.zeros(0, np.uint64), np.zeros(0), curve=(base, 0.0, 0.0))
-    rows = counts.where("n1 + n0 >= 4").orderBy(F.desc("n1"), F.desc("n0"), "word").limit(20 * MOST_WORDS).toArrow()
-    word, n1, n0 = (rows.column(c).to_numpy() for c in ("word", "n1", "n0"))
-    rest1, rest0 = sums[0] - n1.sum(), sums[1] - n0.sum()  # the rare words count as one
-    keys, scores, rate = _log_odds(np.append(word, 0).view(np.uint64), np.append(n1, rest1).astype(float), np.append(n0, rest0).astype(float))
-    model = Model(keys, scores, rate)
+    sample = tmp.save(_one_of_copies(sample).select("toxic", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), "text"), "sample")
+    counts = sample.mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    models = _models(tmp.save(counts, "counts"))
+    if not models:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), curve=(-30.0, 0.0, 0.0))
 
     def measured() -> np.ndarray:
-        got = sample.mapInArrow(_apply(spark.sparkContext.broadcast(model), True), "key int, best double, total double, top double, n long")
-        return np.array([tuple(r) for r in got.collect()], float)
+        got = sample.mapInArrow(_measure(spark.sparkContext.broadcast(models)), "toxic int, best double, total double, top double, n long")
+        return np.array(sorted(tuple(r) for r in got.collect()), float)
 
     x = measured()
     clean_rows = x[x[:, 0] == 0]
     hit = clean_rows[clean_rows[:, 3] > 0]
     if len(hit):
-        chance = model.rate * hit[:, 3] - np.log(hit[:, 4])
-        model.scale = float(np.exp(np.clip(chance.mean() - 0.5772, -20, 5)))  # the mean of a Gumbel variable
+        chance = hit[:, 3] - np.log(hit[:, 4])
+        scale = float(np.exp(np.clip(chance.mean() - 0.5772, -20, 5)))  # the mean of a Gumbel variable
     else:  # no chance segment in all the clean words
-        model.scale = 1 / max(1.0, float(clean_rows[:, 4].sum()))
+        scale = 1 / max(1.0, float(clean_rows[:, 4].sum()))
+    for m in models:
+        m.scale = scale
     x = measured()
-    model.curve = _logistic(np.log1p(x[:, 1:3]), x[:, 0])
-    return model
+    models[-1].curve = _logistic(np.log1p(x[:, 1:3]), x[:, 0])
+    return models[-1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -269,7 +334,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAM
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(train(source, labels, tmp, sample_rows=sample_rows))
     tmp.drop("sample", "counts")
-    scored = source.mapInArrow(_apply(model, False), "key long, score double, n_passages long, passages string")
+    scored = source.mapInArrow(_apply(model), "key long, score double, n_passages long, passages string")
     return scored.select(F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", "passages")
 
 
