@@ -84,6 +84,77 @@ PASSAGES = [
     ("odbl-1.0", "database", "made available under the open database license"),
     ("ms-pl", "accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
 ]
+#: Hand-written sentences of license texts and of notices in files: label, keyword, pattern.
+SENTENCES = [
+    ("mit", "substantial portions", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions"),
+    ("mit", "mit license", "(?:licensed|released|distributed|available) under the(?: terms of the)? mit license"), ("mit", "mit license", "subject to the mit license"), ("mit", "mit license", "the mit license mit"),
+    ("mit-0", "attribution", "mit no attribution"), ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("warranty-disclaimer", "merchantability", "without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("isc", "disclaims", "the author disclaims all warranties with regard to this software"), ("isc", "isc", "(?:licensed|released|distributed) under the isc license"),
+    ("hpnd", "supporting documentation", "appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("hpnd", "suitability", "makes no representations about the suitability of this software for any purpose"),
+    ("bsd", "retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice"), ("bsd", "copyright holders", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd", "regents", "this software is provided by the regents and contributors as is"), ("bsd", "bsd", "use of this source code is governed by a bsd style license"), ("bsd", "bsd", "(?:licensed|released|distributed) under the(?: terms of the)? bsd license"),
+    ("bsd-3-clause", "bsd", "(?:licensed|released|distributed) under the(?: terms of the)? (?:3 clause bsd|bsd 3 clause|new bsd|revised bsd) license"), ("bsd-2-clause", "bsd", "(?:licensed|released|distributed) under the(?: terms of the)? (?:2 clause bsd|bsd 2 clause|simplified bsd) license"),
+    ("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license"), ("bsd-4-clause", "acknowledgement", "must display the following acknowledgement"),
+    ("bsd-2-clause-patent", "bsd", "bsd 2 clause plus patent license"), ("bsd-source-code", "bsd", "bsd source code attribution"), ("0bsd", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("apache-2.0", "contributor license", "licensed to the apache software foundation asf under one or more contributor license agreements"), ("apache-2.0", "apache", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "apache", "(?:licensed|available|distributed) under the terms of the apache license(?: version)? 2(?: 0)?"), ("apache-2.0", "apache", "subject to the terms and conditions of the apache license version 2 0"), ("apache-2.0", "asl", "asl 2 0"),
+    ("apache-1.1", "apache", "the names apache and apache software foundation must not be used to endorse"), ("apache-1.0", "apache", "this software consists of voluntary contributions made by many individuals on behalf of the apache group"), ("apache", "apache", "apache style license"),
+    ("gpl-2.0-or-later", "either version", "either version 2 of the license or at your option any later version"), ("gpl-3.0-or-later", "either version", "either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "either version", "either version 2 1 of the license or at your option any later version"), ("gpl-1.0-or-later", "either version", "either version 1 or at your option any later version"),
+    ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"), ("gpl", "you should have received", "you should have received a copy of the gnu general public license"),
+    ("lgpl", "you should have received", "you should have received a copy of the gnu lesser general public license"), ("lgpl", "you should have received", "you should have received a copy of the gnu library general public license"),
+    ("agpl", "you should have received", "you should have received a copy of the gnu affero general public license"), ("lgpl", "library", "this library is free software you can redistribute it and or modify it"),
+    ("gpl", "useful", "distributed in the hope that it will be useful but without any warranty"), ("gpl-2.0", "version 2", "gnu general public license version 2 june 1991"), ("gpl-3.0", "version 3", "gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "february", "gnu lesser general public license version 2 1 february 1999"), ("agpl-3.0", "november", "gnu affero general public license version 3 19 november 2007"), ("gpl", "copyleft", "this is a copyleft license"),
+    ("gpl-2.0-with-classpath", "classpath", "gnu general public license(?: version 2)? with(?: the)? classpath exception"), ("gpl-classpath", "independent modules", "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-gcc-exception", "runtime library", "gcc runtime library exception"), ("gpl-bison-exception", "bison", "bison parser skeleton"), ("gpl-font-exception", "embed", "as a special exception if you create a document which uses this font and embed this font"),
+    ("linux-syscall-note", "system calls", "this copyright does not cover user programs that use kernel services by normal system calls"), ("gpl", "gpl", "(?:licensed|released|distributed) under the(?: terms of the)? gnu gpl"), ("gpl", "gpl", "(?:licensed|released) under the gpl"),
+    ("lgpl", "lgpl", "(?:licensed|released|distributed) under the(?: terms of the)? lgpl"), ("agpl", "agpl", "(?:licensed|released|distributed) under the(?: terms of the)? agpl"), ("gpl-dual", "dual", "dual licensed under the(?: [^ ]+){0,4} gpl"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"), ("gfdl-1.2", "documentation", "gnu free documentation license version 1 2"), ("gfdl-1.3", "documentation", "gnu free documentation license version 1 3"),
+    ("mpl-2.0", "mozilla", "if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl 2 0"), ("mpl-2.0-no-copyleft", "incompatible", "this source code form is incompatible with secondary licenses"),
+    ("mpl-1.1", "www mozilla", "you may obtain a copy of the license at http www mozilla org mpl"), ("mpl-tri", "alternatively", "alternatively the contents of this file may be used under the terms of either the gnu general public license"),
+    ("npl-1.1", "netscape", "netscape public license version 1 1"), ("npl-1.0", "netscape", "netscape public license version 1 0"), ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("epl", "eclipse", "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license"), ("edl-1.0", "eclipse", "eclipse distribution license v? ?1 0"),
+    ("cddl-1.0", "cddl", "cddl header start"), ("cddl", "common development", "subject to the terms of the common development and distribution license"), ("cddl-gpl", "cddl", "dual license consisting of the cddl"),
+    ("cpl-1.0", "common public", "this program and the accompanying materials are made available under the terms of the common public license"), ("ipl-1.0", "ibm", "ibm public license(?: version)? 1 0"), ("boost-1.0", "boost", "see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt"),
+    ("boost-1.0", "machine executable", "unless such copies or derivative works are solely in the form of machine executable object code"), ("zlib", "altered", "altered source versions must be plainly marked as such"), ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("libpng", "png", "png reference library license(?: version 2)?"), ("unlicense", "unlicense", "for more information please refer to https? unlicense org"), ("unlicense", "anyone is free", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "you just do", "you just do what the fuck you want to"), ("public-domain", "dedicate", "i hereby dedicate this work to the public domain"), ("public-domain", "no copyright", "no copyright is claimed"), ("public-domain", "government", "this is a work of the u s government and is not subject to copyright protection"),
+    ("public-domain", "disclaims copyright", "the author disclaims copyright to this source code"), ("cc0-1.0", "cc0", "cc0 1 0 universal"), ("cc0-1.0", "publicdomain", "creativecommons org publicdomain zero 1 0"), ("pddl-1.0", "public domain dedication", "open data commons public domain dedication"),
+    ("cc-by-4.0", "creativecommons", "creativecommons org licenses by 4 0"), ("cc-by-3.0", "creativecommons", "creativecommons org licenses by 3 0"), ("cc-by-2.0", "creativecommons", "creativecommons org licenses by 2 0"), ("cc-by-sa-4.0", "creativecommons", "creativecommons org licenses by sa 4 0"),
+    ("cc-by-sa-3.0", "creativecommons", "creativecommons org licenses by sa 3 0"), ("cc-by-nc-4.0", "creativecommons", "creativecommons org licenses by nc 4 0"), ("cc-by-nc-sa-4.0", "creativecommons", "creativecommons org licenses by nc sa 4 0"), ("cc-by-nc-nd-4.0", "creativecommons", "creativecommons org licenses by nc nd 4 0"),
+    ("cc-by-nd-4.0", "creativecommons", "creativecommons org licenses by nd 4 0"), ("cc", "some rights", "some rights reserved"), ("cc", "commons", "this work is licensed under a creative commons"),
+]
+#: Hand-written terms of proprietary, restricted, data and model licenses.
+TERMS = [
+    ("proprietary", "confidential", "this (?:document|file|software) contains confidential(?: and proprietary)? information"), ("proprietary", "trade secret", "contains trade secrets"), ("proprietary", "reproduced", "no part of this (?:publication|document|book|work) may be reproduced"),
+    ("proprietary", "reproduction", "reproduction in whole or in part is prohibited"), ("proprietary", "written permission", "without(?: the)?(?: prior)? written permission of the (?:publisher|author|owner|copyright holder)"), ("proprietary", "unpublished", "unpublished rights reserved under the copyright laws"),
+    ("proprietary", "internal use", "for internal use only"), ("proprietary", "end user", "end user license agreement"), ("proprietary", "reverse engineer", "you may not reverse engineer decompile or disassemble"), ("proprietary", "sublicense", "you may not rent lease lend sell redistribute or sublicense"),
+    ("proprietary", "restricted rights", "u s government restricted rights"), ("proprietary", "strictly prohibited", "unauthorized (?:use|copying|reproduction|distribution) is strictly prohibited"), ("proprietary", "by installing", "by installing or using the software you agree"), ("proprietary", "property of", "is the property of its respective owners?"),
+    ("proprietary", "permission denied", "permission denied to copy"), ("no-redistribution", "redistribution", "redistribution is (?:not permitted|prohibited|forbidden)"), ("no-redistribution", "republish", "do not republish"), ("no-redistribution", "may not be", "may not be (?:published|broadcast|rewritten|redistributed)"),
+    ("no-commercial", "commercial", "not for commercial use"), ("no-commercial", "commercial", "commercial use is (?:not permitted|prohibited|not allowed)"), ("no-commercial", "personal", "for personal(?: and)? non commercial use"), ("no-commercial", "academic", "for academic use only"), ("no-commercial", "research", "for research purposes only"),
+    ("no-commercial", "evaluation", "for evaluation purposes only"), ("no-commercial", "educational", "for educational purposes only"), ("no-commercial", "noncommercial", "polyform noncommercial license"), ("polyform-small-business", "polyform", "polyform small business license"), ("commons-clause", "commons clause", "commons clause license condition"),
+    ("no-derivatives", "modified", "may be copied and distributed(?: freely)? but not modified"), ("verbatim", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"), ("verbatim", "verbatim", "verbatim copying and distribution of this entire article"), ("no-ai-training", "training", "may not be used(?: for the purpose of| to)? training(?: [^ ]+){0,4} models?"),
+    ("no-ai-training", "data mining", "text and data mining is not permitted"), ("freeware", "freeware", "this (?:program|software|font) is freeware"), ("freeware", "free of charge", "free of charge for personal use"), ("shareware", "shareware", "this (?:program|software) is shareware"), ("donationware", "donation", "this software is donationware"),
+    ("elastic-2.0", "elastic", "elastic license(?: version)? 2 0"), ("elastic-1.0", "elastic license", "elastic license agreement"), ("confluent-1.0", "confluent", "confluent community license(?: agreement)?(?: version)? 1 0"), ("redis-sal", "redis", "redis source available license"), ("rsal-2.0", "redis", "redis source available license 2 0"),
+    ("sspl-1.0", "server side", "server side public license version 1"), ("bsl-1.1", "change date", "business source license 1 1(?: [^ ]+){0,12} change date"), ("busl", "additional use grant", "additional use grant"), ("timescale", "timescale", "timescale license agreement"), ("fsl-1.1", "functional source", "functional source license version 1 1"),
+    ("openrail", "creativeml", "creativeml open rail m"), ("openrail", "responsible ai", "responsible ai license"), ("bigscience-openrail", "bigscience", "bigscience(?: open)? rail(?: m)? license"), ("llama-2", "llama 2", "llama 2 community license(?: agreement)?"), ("llama-3", "llama 3", "llama 3 community license(?: agreement)?"), ("gemma", "gemma", "gemma terms of use"),
+    ("odbl-1.0", "individual contents", "any rights in individual contents of the database are licensed under"), ("odbl-1.0", "openstreetmap", "openstreetmap contributors"), ("odc-by-1.0", "opendatacommons", "opendatacommons org licenses by"), ("odbl-1.0", "opendatacommons", "opendatacommons org licenses odbl"), ("pddl-1.0", "opendatacommons", "opendatacommons org licenses pddl"),
+    ("cdla-permissive-2.0", "community data", "community data license agreement permissive(?: version)? 2 0"), ("cdla-permissive-1.0", "community data", "community data license agreement permissive(?: version)? 1 0"), ("cdla-sharing-1.0", "community data", "community data license agreement sharing(?: version)? 1 0"), ("c-uda-1.0", "computational use", "computational use of data agreement"),
+    ("ogl-3.0", "public sector", "contains public sector information licensed under the open government licen[cs]e v3 0"), ("ogl-2.0", "public sector", "contains public sector information licensed under the open government licen[cs]e v2 0"), ("etalab-2.0", "etalab", "licence ouverte(?: open licence)?(?: version)? 2 0 etalab"), ("dl-de-by-2.0", "datenlizenz", "datenlizenz deutschland namensnennung(?: version)? 2 0"),
+    ("ofl-1.1", "sil open", "this font software is licensed under the sil open font license"), ("ofl-1.1", "reserved font name", "with reserved font name"), ("ubuntu-font-1.0", "ubuntu font", "ubuntu font licen[cs]e(?: version)? 1 0"), ("bitstream-vera", "bitstream", "bitstream vera is a trademark of bitstream"), ("lppl-1.3c", "latex", "latex project public license(?: either)? version 1 3c"),
+    ("lppl", "latex", "this work may be distributed and or modified under the conditions of the latex project public license"), ("artistic-1.0-perl", "perl", "under the same terms as perl(?: itself)?"), ("artistic-1.0", "artistic", "the artistic license preamble"), ("python-2.0", "psf", "psf license agreement"), ("python-2.0", "python software", "this license agreement is between the python software foundation"),
+    ("php-3.01", "php", "this product includes php software freely available from"), ("php-3.01", "php", "subject to version 3 01 of the php license"), ("ruby", "ruby", "under the(?: same)? terms (?:of|as) ruby(?: s license)?"), ("vim", "vim", "vim is charityware"), ("curl", "curl", "curl license"), ("openssl", "openssl toolkit", "the openssl toolkit stays under a dual license"),
+    ("ssleay", "eric young", "this package is an ssl implementation written by eric young"), ("ntp", "ntp", "ntp license"), ("tcl", "tcl", "tcl tk license"), ("icu", "icu", "icu license icu 1 8 1 and later"), ("unicode-dfs-2016", "unicode", "unicode data files and software(?: [^ ]+){0,6} license"), ("w3c", "w3c", "w3c software notice and license"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"), ("freetype", "freetype", "portions of this software are copyright(?: [^ ]+){0,4} the freetype project"), ("imagemagick", "imagemagick", "imagemagick license"), ("ms-pl", "microsoft", "licensed under the microsoft public license"), ("ms-rl", "reciprocal", "microsoft reciprocal license ms rl"), ("ms-lpl", "limited", "microsoft limited public license"),
+    ("nasa-1.3", "nasa", "nasa open source agreement(?: version)? 1 3"), ("ncsa", "illinois", "developed by(?: [^ ]+){0,6} university of illinois"), ("upl-1.0", "universal permissive", "universal permissive license(?: version| v)? 1 0"), ("eupl-1.1", "eupl", "licensed under the eupl(?: version)? 1 1"), ("cecill-2.1", "cecill", "ce logiciel est régi par la licence cecill"), ("cecill-b", "cecill", "licence cecill b"), ("cecill-c", "cecill", "licence cecill c"),
+    ("osl-3.0", "open software", "licensed under the open software license version 3 0"), ("afl-3.0", "academic", "licensed under the academic free license version 3 0"), ("rpl-1.5", "reciprocal public", "reciprocal public license 1 5"), ("qpl-1.0", "public license", "the q public license version 1 0"), ("sleepycat", "sleepycat", "sleepycat license"), ("watcom-1.0", "watcom", "sybase open watcom public license version 1 0"),
+    ("apsl-2.0", "apple", "apple public source license(?: version)? 2 0"), ("rpsl-1.0", "realnetworks", "realnetworks public source license"), ("sissl", "sun industry", "sun industry standards source license"), ("json", "evil", "the software shall be used for good not evil"), ("beerware", "beer", "you can buy me a beer in return"), ("postcardware", "postcard", "send me a postcard"),
+    ("bzip2", "bzip2", "this program bzip2 the associated library libbzip2"), ("mulan-2.0", "mulan", "mulan(?: psl| permissive software license) v2"), ("blueoak-1.0", "blue oak", "blue oak model license"), ("eth-hippocratic", "hippocratic", "hippocratic license"), ("anti-996", "996", "anti 996 license"), ("parity-7.0", "parity", "parity public license 7 0"),
+]
 #: Families: label stem, keyword, names, versions ("" for none).
 FAMILIES = [
     ("gpl", "gpl", "gpl|gnu gpl", "1 2 3"), ("gpl", "general public", "(?:gnu )?general public license", "1 2 3"),
@@ -113,7 +184,7 @@ SPDX = "mit isc zlib unlicense wtfpl 0bsd bsd-2-clause bsd-3-clause bsd-4-clause
 
 def rules() -> list[Rule]:
     """All rules in order: passages, then versions of each family, Creative Commons, SPDX tags, and bare names."""
-    out = [Rule(a, k, p, 3, 0.95) for a, k, p in PASSAGES]
+    out = [Rule(a, k, p, 3, 0.95) for a, k, p in PASSAGES + SENTENCES + TERMS]
     for stem, keyword, names, versions in FAMILIES:
         for v in versions.split():
             dotted, spaced = (v if "." in v else v + ".0"), v.replace(".", " ")
