@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.llm import toxicity
+from cadastra.llm import line_quality, toxicity
 
 
 def test_differing_is_the_posterior_of_the_mixture():
@@ -64,3 +64,72 @@ def test_long_and_tied_texts(spark):
     for r in toxicity.score_toxicity(docs.union(spark.createDataFrame(more, docs.schema)), tags).collect():
         got.setdefault(r.doc_id, []).append(r.score)
     assert got[1000] == [min(min(v) for v in got.values())] and got[1001][0] > 0.3 and got[1002] == got[0] * 2
+
+
+def _sequences(rng, n=6):
+    return [(rng.normal(size=(k, line_quality.FEATURES)), rng.integers(1, 50, k).astype(float), int(k % 2)) for k in rng.integers(1, 6, n)]
+
+
+def test_field_likelihood_and_gradient():
+    rng = np.random.default_rng(3)
+    (batch, *_), w, move = line_quality.batches_of(_sequences(rng)), rng.normal(size=(line_quality.FEATURES, 2)) / 3, rng.normal(size=(2, 2))
+    labels = rng.integers(0, 2, batch.size.shape)
+    value, g, m = line_quality.gradient(batch, labels, w, move)
+    plain = 0.0
+    for x, n, y in zip(batch.x, batch.n, labels):
+        score = lambda y: sum((x[i] @ w)[y[i]] for i in range(n)) + sum(move[a, b] for a, b in zip(y[: n - 1], y[1:n]))  # noqa: E731,B023
+        plain += (score(y) - np.logaddexp.reduce([score([k >> i & 1 for i in range(n)]) for k in range(1 << n)])) / n
+    assert value == pytest.approx(plain)
+    for at in ((0, 0), (5, 1), (13, 0)):
+        near = w.copy()
+        near[at] += 1e-6
+        assert (line_quality.gradient(batch, labels, near, move)[0] - value) / 1e-6 == pytest.approx(g[at], abs=1e-4)
+    for at in ((0, 1), (1, 1)):
+        near = move.copy()
+        near[at] += 1e-6
+        assert (line_quality.gradient(batch, labels, w, near)[0] - value) / 1e-6 == pytest.approx(m[at], abs=1e-4)
+
+
+def test_decoding_keeps_to_the_document_label():
+    rng = np.random.default_rng(4)
+    for batch in line_quality.batches_of(_sequences(rng, 40)):
+        w, move = rng.normal(size=(line_quality.FEATURES, 2)), rng.normal(size=(2, 2))
+        y = line_quality.decode(batch, w, move, 0.5)
+        share = (batch.size * y).sum(1) / batch.size.sum(1)
+        assert ((share >= 0.5) == (batch.good == 1)).all()
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Good documents with menus and bad ones with some prose: only documents are labelled, lines are judged."""
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choices(["the", "river", "runs", "under", "an", "old", "bridge", "near", "town", "slowly"], k=rng.randint(14, 25))).capitalize() + f" number {rng.randrange(10**6)}."
+    menu = lambda: " | ".join(rng.choices(["home", "login", "share", "cart", "#top", "help"], k=rng.randint(3, 8))) + f" | {rng.randrange(10**6)} |"
+    rows, truth = [], {}
+    for i in range(400):
+        good = i % 3 > 0
+        lines = [(1, prose()) if rng.random() < (0.8 if good else 0.25) else (0, menu()) for _ in range(rng.randint(8, 20))]
+        size = [sum(len(t) for y, t in lines if y == k) for k in (0, 1)]
+        if (size[1] >= size[0]) == good:
+            rows.append((i, "\n".join(t for _, t in lines)))
+            truth[i] = good, sum(y for y, _ in lines), len(lines)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, (g, _, _) in truth.items()], "doc_id long, quality int")
+    got = line_quality.judge_quality(docs, labels).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+    wrong = sum(abs(r.content_lines - truth[r.doc_id][1]) for r in got)
+    held = [r for r in got if r.held and not r.base_failed]
+    assert wrong <= 0.02 * sum(n for *_, n in truth.values()) and held and all(r.kept == truth[r.doc_id][0] for r in held)
+    w, move = line_quality.train(docs, labels)
+    assert abs(move).max() < 2.5
+
+
+def test_quality_of_labelled_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = line_quality.judge_quality(docs, labels).where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").where("not base_failed").collect()
+    assert sum(r.kept == bool(r.quality) for r in held) >= 0.95 * len(held) and len(held) > 60
+
+
+def test_a_very_long_training_document_gives_stretches(spark):
+    text = "\n".join(f"line {i} of a long text" for i in range(6000))
+    rows = spark.createDataFrame([(1, text), (0, "a\nb"), (1, None), (1, "")], "good int, text string").mapInArrow(line_quality._features, "good int, x array<double>, size array<long>").collect()
+    assert sorted((r.good, len(r.size)) for r in rows) == [(0, 2)] + sorted([(1, 256)] * 7 + [(1, 6000 % 256)])
