@@ -7,8 +7,9 @@ Bands of coordinates propose links; full shingle sets confirm each of them.
 Defined cases: a null or empty text, or one without words, has no shingle and
 links with nothing; exact copies (equal sets) form one node before any pairing;
 rows that repeat a doc_id are one document that has the links of all its texts,
-and each row is returned; a null doc_id gives a null component and is kept; an
-empty table gives an empty result; other columns of the input are not read.
+and each row is returned; a null doc_id gives a null component and is kept; ties
+go to the least doc_id; texts of any length count whole; an empty table gives an
+empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ _V = np.uint32
 MAP_WORDS = 8
 #: So many ids at most (16 MB of longs) are broadcast to pick texts; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: The pairs of one document are dealt to so many tasks at most.
+SALTS = 128
+#: So many documents that propose a shingle are compared in one task; more are dealt to several.
+LOT = 1024
 
 
 def _second(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
@@ -117,9 +122,11 @@ def near_duplicates(
 
     1. Describe every document (one pass over the text); equal sets become one node.
     2. In each band bucket, compare the members with the bucket's least member.
-    3. Members still apart after that are compared within their bucket if an exact
-       upper bound on their intersection (shingles that no other such document has
-       can't be shared; a bitmap of the others) leaves a link possible.
+    3. Members of a bucket still apart after that may link if enough of their
+       shingles also stand in another component. Such a link shares one of the
+       rarest of these on both sides (prefix filter), so pairs come from a join on
+       those shingles, never from all members of a bucket; bounds on the sizes and
+       on a bitmap thin them before the full sets are compared.
     Only links and their endpoints move between executors; texts are read again
     for the documents that have candidates.
     """
@@ -141,12 +148,12 @@ def near_duplicates(
     part = tmp.save(connected_components(first, tmp, "one"), "part")
 
     label = part.withColumnRenamed("component", "own")
-    placed = member.join(label, "id", "left").withColumn("own", F.coalesce("own", "id"))
+    placed = member.select("id", "n", "bucket").join(label, "id", "left").withColumn("own", F.coalesce("own", "id"))
+    placed = tmp.save(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
-    placed = tmp.save(placed.join(mixed.select("bucket"), "bucket"), "placed")
-    apart = tmp.save(placed.select("id").distinct(), "apart")
-    bounds = tmp.save(_bounds(source, apart, words), "bounds")
-    rest = tmp.save(_rest(placed, bounds, label, percent), "rest")
+    apart = tmp.save(placed.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("id").agg(F.first("own").alias("own")), "apart")
+    prefix = tmp.save(_prefix(source, apart, words, percent), "prefix")
+    rest = tmp.save(_rest(prefix, percent), "rest")
     second = tmp.save(_confirm(source, rest, tmp, "rest", words, percent), "second")
     both = first.union(second)
     whole = tmp.save(connected_components(both, tmp, "two"), "whole")
@@ -159,24 +166,32 @@ def near_duplicates(
     component = F.coalesce("least", "component", "doc_id")
     out = rows_out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
     out = tmp.save(out, "out")
-    tmp.drop("seen", "groups", "member", "star", "first", "part", "placed", "apart", "bounds", "rest", "star-ids", "rest-ids", "second", "whole")
+    tmp.drop("seen", "groups", "member", "star", "first", "part", "placed", "apart", "prefix", "rest", "star-ids", "rest-ids", "second", "whole")
     return out
 
 
 def _needed(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The full sets of the named documents; equal rows count once."""
-    named = ids.withColumnRenamed("id", "doc_id")
+    """The full sets of the named documents, partitioned by id; equal rows count once."""
+    named = ids.select(F.col("id").alias("doc_id"))
     if named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         named = F.broadcast(named)
     texts = source.join(named, "doc_id", "left_semi")
-    return texts.mapInArrow(_sets(words), "id long, shingles array<long>").where(F.size("shingles") > 0)
+    sets = texts.mapInArrow(_sets(words), "id long, shingles array<long>").where(F.size("shingles") > 0)
+    same = sets.repartition("id").groupBy("id", F.xxhash64("shingles").alias("same"))
+    return same.agg(F.first("shingles").alias("shingles")).drop("same")
 
 
 def _confirm(source: DataFrame, pairs: DataFrame, tmp: Scratch, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; JVM set intersection."""
+    """The pairs (a, b) whose full sets are similar enough; JVM set intersection.
+
+    The pairs of a document with very many are dealt to SALTS tasks, each with a
+    copy of its set.
+    """
     ids = tmp.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     sets = _needed(source, ids, words)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    copies = dealt.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = dealt.join(copies, ["a", "salt"]).select("a", "b", "x")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     n, m = F.size("x").cast("long"), F.size("y").cast("long")
     possible = F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -184,28 +199,34 @@ def _confirm(source: DataFrame, pairs: DataFrame, tmp: Scratch, name: str, words
     return both.where(ok).select("a", "b").distinct()
 
 
-def _bounds(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """For each named document the count and a bitmap of its shingles that another named one has."""
-    each = _needed(source, ids, words).select("id", F.explode("shingles").alias("h")).distinct()
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+def _prefix(source: DataFrame, apart: DataFrame, words: int, percent: int) -> DataFrame:
+    """The documents of apart (id, own) that may link with another component.
+
+    Only shingles that stand in two components can make such a link; e counts
+    those of a document, m0 ... are their bitmap. A link shares percent of each
+    side's n shingles at least, so of its e it shares one of the e - need + 1
+    rarest: the array prefix. Texts that share an id are documents of their own.
+    """
+    sets = _needed(source, apart, words).withColumns({"n": F.size("shingles").cast("long"), "same": F.xxhash64("shingles")})
+    each = sets.join(apart, "id").select("id", "own", "same", "n", F.explode("shingles").alias("h"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select("h", "df")
     word = F.shiftrightunsigned("h", 13).bitwiseAND(F.lit(MAP_WORDS - 1))
     shared = each.join(common, "h").withColumns({"bit": F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 7) & 63 as int))"), "word": word})
     maps = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP_WORDS)]
-    return shared.groupBy("id").agg(F.count(F.lit(1)).alias("e"), *maps)
-
+    whole = shared.groupBy("id", "same").agg(F.first("own").alias("own"), F.first("n").alias("n"), F.count(F.lit(1)).alias("e"), *maps, F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
+    need = F.ceil(F.col("n") * percent / 100).cast("long")
+    prefix = F.transform(F.slice("all", F.lit(1), (F.col("e") - need + 1).cast("int")), lambda x: x["h"])
+    return whole.where(F.col("e") >= need).withColumn("prefix", prefix).drop("all", "same")
 
-def _rest(placed: DataFrame, bounds: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket that may be links.
 
-    x can't link with anything if its shared shingles are under percent of its own.
-    One of the two is always outside the component of the bucket's head.
-    """
-    of = placed.join(bounds, "id").where(F.col("e") * 100 >= F.col("n") * percent)
-    head = label.select(F.col("id").alias("head"), F.col("own").alias("head_own"))
-    away = of.join(head, "head", "left").where(F.col("own") != F.coalesce("head_own", "head"))
-    x = away.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "e", "own", *(f"m{k}" for k in range(MAP_WORDS)))])
-    headed = of.join(head, "head", "left").withColumn("away", F.col("own") != F.coalesce("head_own", "head"))
-    y = headed.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "e", "own", "away", *(f"m{k}" for k in range(MAP_WORDS)))])
+def _rest(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle of both prefixes and may be links."""
+    each = prefix.withColumn("h", F.explode("prefix")).drop("prefix")
+    size = each.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    each = each.join(size.select("h", F.ceil(F.col("docs") / LOT).cast("int").alias("lots")), "h")
+    columns = ["id", "n", "e", "own", *(f"m{k}" for k in range(MAP_WORDS))]
+    x = each.select("h", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = each.select("h", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), *[F.col(c).alias(f"y_{c}") for c in columns])
 
     def most(p: str, q: str) -> Column:
         missing = F.lit(0)
@@ -213,9 +234,8 @@ def _rest(placed: DataFrame, bounds: DataFrame, label: DataFrame, percent: int)
             missing = missing + F.bit_count(F.col(f"{p}_m{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}_m{k}"))))
         return F.col(f"{p}_e") - missing
 
-    once = ~F.col("y_away") | (F.col("x_id") < F.col("y_id"))
     n, m = F.col("x_n"), F.col("y_n")
-    apart = (F.col("x_own") != F.col("y_own")) & once
-    may = _enough(F.least("x_e", "y_e"), n, m, percent) & _enough(most("x", "y"), n, m, percent) & _enough(most("y", "x"), n, m, percent)
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & apart & may)
-    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    apart = (F.col("x_own") != F.col("y_own")) & (F.col("x_id") < F.col("y_id"))
+    may = _enough(F.least("x_e", "y_e", "x_n", "y_n"), n, m, percent) & _enough(most("x", "y"), n, m, percent) & _enough(most("y", "x"), n, m, percent)
+    pairs = x.join(y, (x["h"] == y["h"]) & (x["lot"] == y["lot"]) & apart & may)
+    return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
