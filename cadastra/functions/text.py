@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Characters of code page 1252 that are not the code point of their byte.
 CP1252 = {
@@ -21,7 +21,7 @@ _NEXT = "[\x80-\xbf" + "".join(chr(c) for c in sorted(CP1252)) + "]"
 MOJIBAKE = f"[\xc2-\xdf]{_NEXT}|[\xe0-\xef]{_NEXT}{_NEXT}"
 STRONG_MOJIBAKE = f"[\xc2\xc3]{_NEXT}|\xe2€|\xef\xbf\xbd|[\x80-\x9f]"
 IMPLAUSIBLE = "[^\x20-\x7e\xa0-ɏḀ-ỿ‘-”–—€]|[\xa1-\xbf\xd7\xf7]"
-#: Format and control characters but for the joiners, and spaces other than the plain one.
+# Format and control characters but for the joiners, and spaces other than the plain one.
 INVISIBLE = "[­؜᠎​‎‏‪-‮⁠-⁤⁦-⁯﻿\x00-\x08\x0e-\x1f\x7f]"
 ODD_SPACE = "[\t\n\x0b\x0c\r\x85\xa0  -     　]"
 
@@ -52,6 +52,49 @@ def unaccented(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
 
 
+def skeleton(text: str) -> str:
+    """Letters and digits alone: a separator between two letters goes, any other is one space."""
+    out: list[str] = []
+    gap = False
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind not in "LMN":
+            gap = True
+            continue
+        if gap and out and not (kind == "L" and unicodedata.category(out[-1])[0] in "LM"):
+            out.append(" ")
+        out.append(c)
+        gap = False
+    return "".join(out)
+
+
+def _latin(text: str) -> bool:
+    return all("LATIN" in unicodedata.name(c, "") or c in "ªº" for c in text if unicodedata.category(c)[0] == "L")
+
+
+FORMS = ["cleaned", "composed", "repaired", "key", "loose", "plain"]
+
+
+def forms(text: str) -> tuple:
+    """(cleaned, composed, repaired, key, loose key, whether it is spelt without accents) of a name.
+
+    The loose key has no accents if all letters are Latin.
+    """
+    composed, bare = unicodedata.normalize("NFC", text), unaccented(text)
+    key = skeleton(composed.lower())
+    return clean(text), composed, repair(text), key, skeleton(bare.lower()) if _latin(text) else key, bare == text
+
+
+@F.pandas_udf(StructType([StructField(c, BooleanType() if c == "plain" else StringType()) for c in FORMS]))
+def name_forms(x: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([forms(t) if t is not None else (None,) * len(FORMS) for t in x], columns=FORMS)
+
+
+def visible(text: str | None) -> str | None:
+    """Characters that can't be seen as their code points, for reports."""
+    return None if text is None else re.sub(f"{INVISIBLE}|{ODD_SPACE}", lambda m: f"<U+{ord(m[0]):04X}>", text)
+
+
 def _arrow(f):
     @F.pandas_udf(StringType())
     def run(x: pd.Series) -> pd.Series:
@@ -64,6 +107,7 @@ nfc = _arrow(lambda t: unicodedata.normalize("NFC", t))
 strip_accents = _arrow(unaccented)
 repair_mojibake = _arrow(repair)
 clean_name = _arrow(clean)
+visible_name = _arrow(visible)
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -62,14 +62,13 @@ def p15(spark, d):
     return view(spark, d, "units_a").where(held("name", "red") | held("code", "p1")).select("fid", "name")
 
 
-@query("L04_sorted_sample", with_views("SELECT DISTINCT adm3_code FROM hier WHERE adm3_code IS NOT NULL ORDER BY adm3_code LIMIT 100"))
-def l04(spark, d):
-    return view(spark, d, "hier").where("adm3_code is not null").select("adm3_code").distinct().orderBy("adm3_code").limit(100)  # the sample of a format report
+#: Fixed value: so many distinct codes a format report looks at.
+SAMPLE_LIMIT = 10_000
 
 
-@query("L04_sorted_sample_whole")  # L04_sorted_sample and its SQL stop at 100
-def l04_whole(spark, d):
-    return view(spark, d, "hier").where("adm3_code is not null").select("adm3_code").distinct().orderBy("adm3_code").limit(10_000)  # the engine's SAMPLE_LIMIT
+@query("L04_sorted_sample", with_views(f"SELECT DISTINCT adm3_code FROM hier WHERE adm3_code IS NOT NULL ORDER BY adm3_code LIMIT {SAMPLE_LIMIT}"))
+def l04(spark, d):
+    return view(spark, d, "hier").where("adm3_code is not null").select("adm3_code").distinct().orderBy("adm3_code").limit(SAMPLE_LIMIT)
 
 
 @query("C14_code_update")

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.functions.text import INVISIBLE, MOJIBAKE, ODD_SPACE, STRONG_MOJIBAKE
+from cadastra.functions.text import INVISIBLE, ODD_SPACE, STRONG_MOJIBAKE, clean_name, visible_name
 from cadastra.operators import names
 from cadastra.plans.views import view, with_views
 from cadastra.registry import query
 from cadastra.shipping import ship
 
-_BARE = f"regexp_replace(coalesce(name, ''), '{INVISIBLE}|{ODD_SPACE}| ', '', 'g')"
-_NAMED = f"named AS (SELECT * FROM names WHERE code IS NOT NULL AND {_BARE} <> '')"
+_NAMED = f"named AS (SELECT * FROM names WHERE code IS NOT NULL AND length(regexp_replace(coalesce(name, ''), '{INVISIBLE}|{ODD_SPACE}| ', '', 'g')) > 0)"
 _KEYS = "level, name_column, code AS code_a, name AS name_a"
-_TOKENS = r"(' ' || trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
 
 
-def _held(c: str) -> str:
-    return rf"coalesce(length({c}) >= 3 AND regexp_matches({c}, '\p{{L}}') AND regexp_matches({c}, '\p{{N}}') AND contains({_TOKENS.format('name')}, {_TOKENS.format(c)}), false)"
+def _runs(text: str) -> str:
+    return rf"(' ' || coalesce(list_aggregate(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+'), 'string_agg', ' '), '') || ' ')"
+
+
+def _mentions(code: str) -> str:
+    return rf"coalesce(length({code}) > 2 AND regexp_matches({code}, '\p{{L}}') AND regexp_matches({code}, '\p{{N}}') AND position({_runs(code)} IN {_runs('name')}) > 0, false)"
 
 
 def _short(found: DataFrame, *more: str) -> DataFrame:
@@ -34,22 +36,26 @@ def _check(kind: str, *more: str):
 
 
 _SUGGESTED = r"trim(regexp_replace(nfc_normalize(regexp_replace(regexp_replace(name, '" + ODD_SPACE + r"', ' ', 'g'), '" + INVISIBLE + r"', '', 'g')), ' {2,}', ' ', 'g'), ' ')"
+_WORDS = rf"list_filter(regexp_extract_all(name, '\p{{L}}+'), lambda w: w <> lower(w) AND NOT regexp_matches(w, '{names.ROMAN}'))"
+_CASES = rf"""cased AS (
+    SELECT *, CASE
+        WHEN regexp_matches(regexp_replace(name, '[\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}]', '', 'g'), '\p{{L}}') THEN NULL
+        WHEN regexp_matches(name, '\p{{Lu}}') AND regexp_matches(name, '\p{{Ll}}') THEN 'mixed'
+        WHEN NOT regexp_matches(name, '\p{{L}}{{4}}') THEN NULL
+        WHEN regexp_matches(name, '\p{{Ll}}') THEN 'lower'
+        WHEN regexp_matches(name, '\p{{Lu}}') AND (len(list_filter({_WORDS}, lambda w: length(w) >= 6)) > 0 OR len(list_filter({_WORDS}, lambda w: length(w) >= 3)) > 1) THEN 'upper' END AS letter_case
+    FROM named)"""
 _SQL = {
-    "N01_blank": ("blank-name", f"SELECT DISTINCT {_KEYS} FROM names WHERE code IS NOT NULL AND {_BARE} = ''", ()),
-    "N02_placeholder": ("placeholder-name", rf"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE lower(trim(name)) IN ('n/a','n_a','n.a.','null','none','unknown','undefined') OR lower(trim(name)) = lower(code) OR NOT regexp_matches(name, '[\p{{L}}\p{{N}}]')", ()),
-    "N03_duplicate": ("duplicate-name", f"WITH {_NAMED} SELECT level, name_column, min(code) AS code_a, name AS name_a, (list_sort(list(DISTINCT code)))[2] AS code_b FROM named GROUP BY level, name_column, parent_code, name HAVING count(DISTINCT code) > 1", ("code_b",)),
-    "N06_encoding": ("encoding-artifact", f"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE contains(name, '�') OR regexp_matches(name, '{STRONG_MOJIBAKE}')", ()),
+    "N01_blank": ("blank-name", f"SELECT DISTINCT {_KEYS} FROM names u WHERE code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT regexp_replace(u.name, '{INVISIBLE}|{ODD_SPACE}| ', '', 'g') AS rest) r WHERE rest <> '')", ()),
+    "N02_placeholder": ("placeholder-name", rf"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE lower(trim(name)) IN ({', '.join(repr(x) for x in names.PLACEHOLDERS)}, lower(code)) OR NOT regexp_matches(name, '[\p{{L}}\p{{N}}]')", ()),
+    "N03_duplicate": ("duplicate-name", f"WITH {_NAMED}, pairs AS (SELECT DISTINCT level, name_column, parent_code, name, code FROM named), ranked AS (SELECT *, dense_rank() OVER (PARTITION BY level, name_column, parent_code, name ORDER BY code) AS r FROM pairs) SELECT a.level, a.name_column, a.code AS code_a, a.name AS name_a, b.code AS code_b FROM ranked a JOIN ranked b ON a.level = b.level AND a.name_column = b.name_column AND a.parent_code IS NOT DISTINCT FROM b.parent_code AND a.name = b.name WHERE a.r = 1 AND b.r = 2", ("code_b",)),
+    "N06_encoding": ("encoding-artifact", f"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE regexp_matches(name, '�|{STRONG_MOJIBAKE}')", ()),
     "N07_invisible": ("invisible-character", f"WITH {_NAMED} SELECT DISTINCT {_KEYS}, {_SUGGESTED} AS suggested FROM named WHERE regexp_matches(name, '{INVISIBLE}|{ODD_SPACE}')", ("suggested",)),
     "N07_unnormalized": ("unnormalized-unicode", f"WITH {_NAMED} SELECT DISTINCT {_KEYS}, {_SUGGESTED} AS suggested FROM named WHERE length(nfc_normalize(name)) < length(name)", ("suggested",)),
-    "N07_whitespace": ("whitespace", f"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE regexp_matches(name, '^ | $|  ')", ()),
-    "N09_mixed_script": ("mixed-script", rf"WITH {_NAMED}, w AS (SELECT *, unnest(regexp_split_to_array(name, '[^\p{{L}}\p{{M}}]+')) AS w FROM named) SELECT DISTINCT {_KEYS} FROM w WHERE CAST(regexp_matches(w, '\p{{Latin}}') AS INT) + CAST(regexp_matches(w, '\p{{Cyrillic}}') AS INT) + CAST(regexp_matches(w, '\p{{Greek}}') AS INT) > 1", ()),
-    "N10_code_in_name": ("code-in-name", f"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE lower(trim(name)) <> lower(code) AND ({_held('code')} OR {_held('parent_code')})", ()),
-    "N08_case_outlier": ("case-outlier", rf"""WITH {_NAMED}, c AS (SELECT *, regexp_matches(name, '\p{{Lu}}') AS up, regexp_matches(name, '\p{{Ll}}') AS low,
-            list_transform(list_filter(regexp_split_to_array(name, '[^\p{{L}}]+'), lambda w: w = upper(w) AND w <> lower(w) AND NOT regexp_matches(w, '{names.ROMAN}')), lambda w: length(w)) AS caps
-            FROM named WHERE NOT regexp_matches(name, '[^\P{{L}}\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}]')),
-        o AS (SELECT *, up <> low AND regexp_matches(name, '\p{{L}}{{4}}') AND (NOT up OR coalesce(list_max(caps), 0) >= 6 OR len(list_filter(caps, lambda n: n >= 3)) >= 2) AS outlier FROM c),
-        s AS (SELECT level, name_column, avg(CASE WHEN outlier THEN 0 ELSE 1 END) AS share FROM o WHERE (up AND low) OR outlier GROUP BY ALL)
-        SELECT DISTINCT o.level, o.name_column, code AS code_a, name AS name_a FROM o JOIN s ON s.level = o.level AND s.name_column = o.name_column WHERE outlier AND share >= 0.9""", ()),
+    "N07_whitespace": ("whitespace", f"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE name <> trim(regexp_replace(name, ' +', ' ', 'g'), ' ')", ()),
+    "N09_mixed_script": ("mixed-script", rf"WITH {_NAMED}, w AS (SELECT *, unnest(regexp_extract_all(name, '[\p{{L}}\p{{M}}]+')) AS w FROM named) SELECT DISTINCT {_KEYS} FROM w WHERE " + r" OR ".join(rf"(regexp_matches(w, '\p{{{a}}}') AND regexp_matches(w, '\p{{{b}}}'))" for a, b in (("Latin", "Cyrillic"), ("Latin", "Greek"), ("Cyrillic", "Greek"))), ()),
+    "N10_code_in_name": ("code-in-name", f"WITH {_NAMED} SELECT DISTINCT {_KEYS} FROM named WHERE lower(trim(name)) <> lower(code) AND ({_mentions('code')} OR {_mentions('parent_code')})", ()),
+    "N08_case_outlier": ("case-outlier", f"WITH {_NAMED}, {_CASES} SELECT DISTINCT {_KEYS} FROM cased o WHERE letter_case <> 'mixed' AND (SELECT count(*) FILTER (WHERE letter_case = 'mixed') / count(letter_case) FROM cased c WHERE c.level = o.level AND c.name_column = o.name_column) >= 0.9", ()),
 }
 for _name, (_kind, _sql, _more) in _SQL.items():
     query(_name, with_views(_sql))(_check(_kind, *_more))
@@ -78,10 +84,15 @@ def n12(spark: SparkSession, d: str) -> DataFrame:
     return names.apply_fixes(units, names.run_checks(units))
 
 
-@query("U01f_clean_text", f"SELECT doc_id, n, md5(t) AS digest FROM (SELECT doc_id, length(t) AS n, t FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(regexp_replace(regexp_replace(text, '{ODD_SPACE}', ' ', 'g'), '{INVISIBLE}', '', 'g')), ' {{2,}}', ' ', 'g'), ' ') AS t FROM documents WHERE NOT regexp_matches(text, '{MOJIBAKE}')))")
-def u01f(spark: SparkSession, d: str) -> DataFrame:
-    from cadastra.functions.text import clean_name
+@query("N13_visible_names", with_views(f"WITH m AS (SELECT DISTINCT name FROM names WHERE regexp_matches(name, '{INVISIBLE}|{ODD_SPACE}')), c AS (SELECT name, unnest(string_split(name, '')) AS c, generate_subscripts(string_split(name, ''), 1) AS i FROM m) SELECT name, string_agg(CASE WHEN regexp_matches(c, '{INVISIBLE}|{ODD_SPACE}') THEN '<U+' || lpad(printf('%X', unicode(c)), 4, '0') || '>' ELSE c END, '' ORDER BY i) AS shown FROM c GROUP BY name"))
+def n13(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return view(spark, d, "names").where(F.col("name").rlike(f"{INVISIBLE}|{ODD_SPACE}")).select("name", visible_name("name").alias("shown")).distinct()
+
 
+@query("U01f_clean_text")
+def u01f(spark: SparkSession, d: str) -> DataFrame:
+    """Every document cleaned. SQL lacks the repair step; tests compare with plain Python."""
     ship(spark)
-    docs = spark.read.parquet(f"{d}/documents.parquet")  # the SQL leaves out null texts and those of the repair step, which it lacks
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", clean_name("text").alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))

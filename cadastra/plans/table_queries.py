@@ -219,19 +219,18 @@ def c10(spark, d):
     return codes.overflow(_units(spark, d), 1)
 
 
-@query("C11_code_checks", with_views(rf"""WITH u AS ({_UNITS}), coded AS (SELECT * FROM u WHERE code IS NOT NULL AND trim(code) <> ''),
-    leaf AS (SELECT code, sum(row_count) AS f, count(DISTINCT (parent_code, name)) AS v FROM coded WHERE level = 3 GROUP BY code HAVING sum(row_count) > 1),
-    pairs AS (SELECT DISTINCT level, code, parent_code FROM coded WHERE parent_code IS NOT NULL), usual AS (SELECT level FROM pairs GROUP BY level HAVING count(*) >= 10 AND avg(CASE WHEN starts_with(code, parent_code) THEN 1 ELSE 0 END) >= 0.9),
-    shapes AS (SELECT DISTINCT level, code, regexp_replace(regexp_replace(code, '\p{{L}}', 'A', 'g'), '[0-9]', '9', 'g') AS shape FROM coded), per AS (SELECT level, shape, count(*) AS n FROM shapes GROUP BY ALL),
-    most AS (SELECT level, n, shape AS usual, total FROM (SELECT *, sum(n) OVER (PARTITION BY level) AS total, row_number() OVER (PARTITION BY level ORDER BY n DESC, shape DESC) AS r FROM per) t WHERE r = 1 AND total >= 10)
-    SELECT 'blank-code' AS kind, level, CAST(NULL AS VARCHAR) AS code_a FROM u WHERE code IS NULL OR trim(code) = '' GROUP BY level
-    UNION ALL SELECT 'name-conflict', level, code FROM coded WHERE trim(name) <> '' GROUP BY level, code HAVING count(DISTINCT name) > 1
-    UNION ALL SELECT CASE WHEN v > 1 THEN 'duplicate-code' ELSE 'split-unit' END, 3, code FROM leaf
-    UNION ALL SELECT 'prefix-mismatch', level, code FROM pairs WHERE level IN (SELECT level FROM usual) AND NOT starts_with(code, parent_code)
-    UNION ALL SELECT 'format-outlier', s.level, code FROM shapes s JOIN most m ON m.level = s.level WHERE m.n >= 0.9 * total AND shape <> usual
-    UNION ALL SELECT 'format-undetected', level, NULL FROM most WHERE n < 0.9 * total"""))
+@query("C11_code_checks", with_views(rf"""WITH u AS ({_UNITS}), c AS (SELECT DISTINCT level, code_column, code, parent_code, starts_with(code, parent_code) AS kept FROM u WHERE code IS NOT NULL),
+    trust AS (SELECT level FROM c WHERE parent_code IS NOT NULL GROUP BY level HAVING count(*) > 9 AND count(*) FILTER (WHERE kept) >= 0.9 * count(*)),
+    s AS (SELECT DISTINCT level, code_column, code, regexp_replace(regexp_replace(code, '\p{{L}}', 'A', 'g'), '[0-9]', '9', 'g') AS shape FROM c),
+    f AS (SELECT DISTINCT level, code_column, first_value(shape) OVER w AS usual, first_value(alike) OVER w AS alike, codes FROM (SELECT *, count(*) OVER (PARTITION BY level, shape) AS alike, count(*) OVER (PARTITION BY level) AS codes FROM s) t WHERE codes > 9 WINDOW w AS (PARTITION BY level ORDER BY alike DESC, shape DESC))
+    SELECT 'blank-code' AS kind, level, code_column AS column_name, NULL AS code_a, NULL AS code_b, count(*) || ' without a code below ' || coalesce(parent_code, 'the top') AS reason FROM u WHERE code IS NULL GROUP BY level, code_column, parent_code
+    UNION ALL SELECT 'name-conflict', level, name_column, code, code, 'goes by ' || string_agg(DISTINCT name, ' / ' ORDER BY name) FROM u WHERE code IS NOT NULL AND trim(name) <> '' GROUP BY level, name_column, code HAVING count(DISTINCT name) > 1
+    UNION ALL SELECT CASE WHEN count(DISTINCT row(parent_code, name)) = 1 THEN 'split-unit' ELSE 'duplicate-code' END, 3, code_column, code, NULL, sum(row_count) || ' polygons, ' || count(DISTINCT row(parent_code, name)) || ' meanings' FROM u WHERE level = 3 AND code IS NOT NULL GROUP BY code_column, code HAVING sum(row_count) > 1
+    UNION ALL SELECT 'prefix-mismatch', level, code_column, code, parent_code, 'begins otherwise than ' || parent_code FROM c SEMI JOIN trust USING (level) WHERE NOT kept
+    UNION ALL SELECT 'format-outlier', s.level, s.code_column, code, NULL, shape || ' among ' || usual FROM s JOIN f ON s.level = f.level AND shape <> usual AND alike >= 0.9 * codes
+    UNION ALL SELECT 'format-undetected', level, code_column, NULL, NULL, alike || ' of ' || codes || ' at most share a shape: ' || usual FROM f WHERE alike < 0.9 * codes"""))
 def c11(spark, d):
-    return codes.check_codes(_units(spark, d)).select("kind", "level", "code_a")
+    return codes.check_codes(_units(spark, d)).select("kind", "level", "column_name", "code_a", "code_b", "reason")
 
 
 _RANK = "CASE priority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END"
@@ -299,15 +298,12 @@ def t13(spark, d):
     return status.level_pick(view(spark, d, "src_match"), "iso", "source", "units")
 
 
-@query("T15_level_pivot", with_views("SELECT iso, CAST(sum(CASE WHEN source = 1 THEN units END) AS BIGINT) AS \"1\", CAST(sum(CASE WHEN source = 2 THEN units END) AS BIGINT) AS \"2\", CAST(sum(CASE WHEN source = 3 THEN units END) AS BIGINT) AS \"3\" FROM src_match GROUP BY iso"))
+@query("T15_level_pivot", with_views("SELECT iso, string_agg(source || ':' || units, ',' ORDER BY source) AS levels FROM src_match GROUP BY iso"))
 def t15(spark, d):
-    return view(spark, d, "src_match").groupBy("iso").pivot("source", [1, 2, 3]).agg(F.sum("units"))
-
-
-@query("T15_level_pivot_whole")  # T15_level_pivot and its SQL have levels 1 to 3; here is every level that occurs
-def t15_whole(spark, d):
+    """Units of every level that a country has, in one row."""
     per = view(spark, d, "src_match").groupBy("iso", "source").agg(F.sum("units").alias("units"))
-    return per.groupBy("iso").agg(F.array_sort(F.collect_list(F.struct(F.col("source").alias("level"), "units"))).alias("levels"))
+    levels = F.array_sort(F.collect_list(F.struct("source", "units")))
+    return per.groupBy("iso").agg(F.array_join(F.transform(levels, lambda x: F.concat_ws(":", x["source"].cast("string"), x["units"].cast("string"))), ",").alias("levels"))
 
 
 @query("T16_hub_conflict", with_views("SELECT iso, source FROM (SELECT *, row_number() OVER (PARTITION BY iso ORDER BY matched DESC, source) AS r, lead(matched) OVER (PARTITION BY iso ORDER BY matched DESC, source) AS nxt FROM src_match) t WHERE r = 1 AND (nxt IS NULL OR matched >= 2.0 * nxt)"))

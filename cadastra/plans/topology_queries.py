@@ -12,12 +12,11 @@ from cadastra.plans.polygon_queries import layer
 from cadastra.plans.views import view, with_views
 from cadastra.registry import query
 
-_CELLS = "SELECT DISTINCT CAST(floor(xmin / 10) AS BIGINT) AS cx, CAST(floor(ymin / 10) AS BIGINT) AS cy FROM units_a WHERE fid % 7 <> 3 AND fid % 37 <> 5 AND fid % 5 <> 1"
+_CELLS = "SELECT DISTINCT CAST(floor(xmin / 10) AS BIGINT) AS cx, CAST(floor(ymin / 10) AS BIGINT) AS cy FROM units_a"
 
 
 def _cells(spark, d):
-    a = view(spark, d, "units_a").where("fid % 7 <> 3 and fid % 37 <> 5 and fid % 5 <> 1")
-    return a.select(F.floor(F.col("xmin") / 10).alias("cx"), F.floor(F.col("ymin") / 10).alias("cy"))
+    return view(spark, d, "units_a").select(F.floor(F.col("xmin") / 10).alias("cx"), F.floor(F.col("ymin") / 10).alias("cy"))
 
 
 @query("G01_grid_gaps", with_views(f"""WITH RECURSIVE c AS ({_CELLS}), s AS (SELECT min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1 FROM c),
@@ -29,12 +28,6 @@ def g01(spark, d):
     return topology.grid_gaps(_cells(spark, d), 10.0).drop("gap")
 
 
-@query("G01_grid_gaps_whole")  # G01_grid_gaps and its SQL thin the layer out first; this is all of it
-def g01_whole(spark, d):
-    cells = view(spark, d, "units_a").select(F.floor(F.col("xmin") / 10).alias("cx"), F.floor(F.col("ymin") / 10).alias("cy"))
-    return topology.grid_gaps(cells, 10.0).drop("gap")
-
-
 _OVERLAPS = "SELECT a.fid AS unit_a, b.fid AS unit_b, greatest(a.xmin, b.xmin) AS xmin, greatest(a.ymin, b.ymin) AS ymin, least(a.xmax, b.xmax) AS xmax, least(a.ymax, b.ymax) AS ymax FROM units_b a JOIN units_b b ON a.fid < b.fid AND a.xmin < b.xmax AND a.xmax > b.xmin AND a.ymin < b.ymax AND a.ymax > b.ymin"
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir, or on one machine (tests) a temporary one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cadastra-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
