@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.shipping import ship
+from cadastra.storage import shared_root
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cadastra-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Parquet tables of one operator call, in one folder of the shared root.
 
@@ -59,7 +50,13 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Ready this session's Python workers; bound its Arrow batches, as texts may be long."""
+    """Ready this session's Python workers; bound its Arrow batches, as texts may be long.
+
+    The bounds hold when a plan runs, which is after an operator has returned it,
+    so they stay with the session; a smaller bound of the session's own is kept.
+    """
     ship(spark)
-    spark.conf.set(_BATCH_ROWS, str(rows))
-    spark.conf.set(_BATCH_BYTES, str(16 << 20))
+    for key, most in ((_BATCH_ROWS, rows), (_BATCH_BYTES, 16 << 20)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))

@@ -2,14 +2,15 @@
 
 Every document becomes a hashed vector of its token counts, projected to four
 dimensions; its key is the place of that point on a Hilbert curve. Documents are
-ordered by range sort on (key, row), and the ordered stream of ids is cut every
+ordered by range sort on (key, doc_id, hash of the text), and the ordered stream of ids is cut every
 `length` ids, so neighbours on the curve share sequences and only the last
 sequence of all can be short.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a
 doc_id are packed one by one; a null doc_id is carried through; ties on the key
-follow the row's place in the input table; an empty table gives no piece; other
-columns of the input are not read.
+follow doc_id, then the text, so that the order of the files has no part in the
+result; a text of any length is cut into as many pieces as it needs; an empty
+table gives no piece; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -73,9 +74,9 @@ def _encode(path: str, end: int):
         encoder, row = shared_encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, ids, off in encoder.encode(batch.column(1), end):
-                cols = [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(curve_keys(ids, off)), pa.array(np.diff(off).astype(np.int64)), binary_column(ids, off)]
+                cols = [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(curve_keys(ids, off)), pa.array(np.diff(off).astype(np.int64)), binary_column(ids, off)]
                 row += b - a
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "place", "n", "ids"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "mark", "place", "n", "ids"])
 
     return run
 
@@ -123,9 +124,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     tmp = Scratch(spark, "packing")
     path = tokenizer or public_path()
     dtype = WordEncoder(path, 1).dtype
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = tmp.save(source.mapInArrow(_encode(path, end_id), "row long, doc_id long, place long, n long, ids binary"), "coded")
-    slim = coded.select("row", "n", "place").repartitionByRange("place", "row").sortWithinPartitions("place", "row")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    coded = tmp.save(source.mapInArrow(_encode(path, end_id), "row long, doc_id long, mark long, place long, n long, ids binary"), "coded")
+    ties = ["place", "doc_id", "mark", "row"]  # rows that differ in the last alone are equal
+    slim = coded.select("row", "n", "place", "doc_id", "mark").repartitionByRange(*ties).sortWithinPartitions(*ties)
     order = tmp.save(slim.select("row", "n").mapInArrow(_running, "row long, n long, part long, ahead long"), "order")
     parts = order.groupBy("part").agg(F.sum("n").alias("size"))
     base = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # a row for each partition

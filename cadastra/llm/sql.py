@@ -32,14 +32,14 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM f WHERE r = 1
 """
 
-op7_perspectives = """
+op7_perspectives = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 ), e AS (
     SELECT t.conv_id, perspective, turn, role, text, CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS seat FROM t JOIN p ON p.conv_id = t.conv_id
-), h AS (SELECT *, '<|im_start|>' || seat || CASE WHEN seat = 'user' THEN ' name=' || role ELSE '' END || chr(10) AS head FROM e
-), z AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h
+), h AS (SELECT *, '<|im_start|>' || seat || CASE WHEN seat = 'user' THEN ' name=' || replace(regexp_replace(role, '[\r\n]', ' ', 'g'), '<|im_', '<| im_') ELSE '' END || chr(10) AS head FROM e
+), z AS (SELECT *, head || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered FROM h
 ), o AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM z)
 SELECT conv_id, perspective, turn, seat, rendered, "end" - length(rendered) AS start, "end", CASE WHEN seat = 'assistant' THEN "end" - length(rendered) + length(head) END AS mask_start, CASE WHEN seat = 'assistant' THEN "end" - 1 END AS mask_end FROM o
 """

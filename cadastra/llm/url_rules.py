@@ -2,21 +2,25 @@
 
 A host's key is its labels from last to first, each closed by a dot, so the
 hosts below a rule's host are an interval of keys that starts at the rule's own.
-Rules and pages are range-sorted together; one pass over a sorted part keeps a
-stack of the rules whose intervals are open. Rules opened in earlier parts are
-joined to a part through the prefixes of its first key.
+Rules and pages are range-sorted together; one pass over the sorted rows of a
+part, a batch at a time, keeps a stack of the rules whose intervals are open.
+Rules opened in earlier parts are joined to a part through the prefixes of its
+first key. Paths and page ids are part of the order, so the pages of one host
+spread over parts.
 
 Defined cases: a null url, or one without "://", has empty host and path and no
 rule; of the rules that fit, the longest (host and path together, then host)
 wins, and of equal rules the first in the list; pages that repeat are judged one
-by one; an empty table gives an empty result; other columns are not read.
+by one; urls of any length are judged whole; an empty table, or one of rules,
+gives an empty result or the default verdict; other columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,29 +53,51 @@ def _key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def sweep(part: pd.DataFrame, default: str) -> pd.DataFrame:
-    """Verdicts of one sorted part. Kind 0 rows are rules, kind 1 rows pages."""
-    part = part.sort_values(["key", "kind", "path", "place"], kind="stable")
-    stack: list[tuple[str, dict[str, tuple]]] = []
-    out = []
-    for row in part.itertuples(index=False):
-        while stack and not row.key.startswith(stack[-1][0]):
-            stack.pop()
-        if row.kind == 0:
-            if not stack or stack[-1][0] != row.key:
-                stack.append((row.key, {}))
-            stack[-1][1].setdefault(row.path, (row.rule_host, row.verdict))
-            continue
-        best = None
-        for _, paths in stack:
-            for size in sorted({len(p) for p in paths}, reverse=True):
-                fit = paths.get(row.path[:size]) if size <= len(row.path) else None
-                if fit:
-                    rank = (len(fit[0]) + size, len(fit[0]))
-                    best = max(best, (rank, fit[0] + row.path[:size], fit[1])) if best else (rank, fit[0] + row.path[:size], fit[1])
-                    break
-        out.append((None if pd.isna(row.page_id) else int(row.page_id), row.host, row.path, best[1] if best else None, best[2] if best else default))
-    return pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"]).astype({"page_id": "Int64"})
+@dataclass
+class Open:
+    """The rules of one key on the stack: (rule host, verdict) by path, and the lengths of the paths, longest first."""
+
+    key: str
+    paths: dict[str, tuple[str, str]] = field(default_factory=dict)
+    sizes: list[int] = field(default_factory=list)
+
+    def add(self, path: str, host: str, verdict: str) -> None:
+        if path not in self.paths:
+            self.paths[path] = host, verdict
+            if len(path) not in self.sizes:
+                self.sizes = sorted([*self.sizes, len(path)], reverse=True)
+
+    def fit(self, path: str) -> tuple[int, int, str, str] | None:
+        """(length of the rule, of its host, rule, verdict) of the longest path that path starts with."""
+        for size in self.sizes:
+            if size <= len(path) and (got := self.paths.get(path[:size])):
+                return len(got[0]) + size, len(got[0]), got[0] + path[:size], got[1]
+        return None
+
+
+def _sweep(default: str):
+    """Verdicts of rows in the order of part and key. Kind 0 rows are rules, kind 1 rows pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for part, key, kind, path, page_id, host, rule_host, verdict in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "kind", "path", "page_id", "host", "rule_host", "verdict"))):
+                if part != at:
+                    at, stack = part, []
+                while stack and not key.startswith(stack[-1].key):
+                    stack.pop()
+                if kind == 0:
+                    if not stack or stack[-1].key != key:
+                        stack.append(Open(key))
+                    stack[-1].add(path, rule_host, verdict)
+                    continue
+                best = max((f for f in (o.fit(path) for o in stack) if f), key=lambda f: f[:2], default=None)
+                out.append((page_id, host, path, best[2] if best else None, best[3] if best else default))
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(columns)], names=["page_id", "host", "path", "rule", "verdict"])
+
+    return run
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame = RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -94,4 +120,4 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame = RULES, *, id
     open_before = first.select("part", F.explode(prefixes).alias("key")).distinct().join(rule_rows, "key")
     columns = [x.split()[0] for x in _KEYED.split(", ")]
     whole = events.select(*columns, "part").union(open_before.select(*columns, "part"))
-    return whole.groupBy("part").applyInPandas(lambda part: sweep(part, default), _RESULT)
+    return whole.repartition("part").sortWithinPartitions("part", "key", "kind", "path", "place").mapInArrow(_sweep(default), _RESULT)
