@@ -2,8 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 as Parquet to the shared folder and hands the table to the next stage. All but
-the last return the columns of `documents`. Empty input passes through every
-stage; rows with a null doc_id are kept by the stages that decide by doc_id.
+the last return the columns of `documents`, whatever columns these are.
+
+Defined cases, for every stage: an empty table passes through; a null or empty
+text is neither toxic nor a copy, leak or secret and is kept; rows with a null
+doc_id are kept but for what their own text says; rows are judged one by one,
+save near duplicates, which go by doc_id: rows that repeat one are one document,
+whose texts stay once each or go together; ties between copies go to the least
+doc_id; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,29 +26,34 @@ from cadastra.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the segment model predicts as toxic go."""
+    """Rows whose text the segment model predicts as toxic go; without labels of both classes none does."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of least doc_id."""
+    """One document of each group of near-duplicates stays: the one of least doc_id, each of its texts once."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; n_chars follows it."""
+    """Secrets are replaced in the text; n_chars follows it (null for a null text)."""
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences along the Hilbert curve."""
-    return pack(docs)
+    """Pieces of sequences along the Hilbert curve, with their token ids; a null text is the end id alone."""
+    return pack(docs, with_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
