@@ -71,6 +71,47 @@ def test_packing(tables):
     assert all(r.ids_crc32 == brute.crc(ids[r.doc_id][r.start : r.start + r.length]) for r in rows)
 
 
+def test_packed_ids_are_in_the_table(tables):
+    assert all(len(r.ids) == 4 * r.length for r in tables[5].select("ids", "length").collect())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, repeated rows and ids, ties and clashing columns, with one toxic, one leaking and one secret text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    bad = toxicity.score_toxicity(docs, labels).where("predicted = 1").join(docs.select("doc_id", "text"), "doc_id").first().text
+    item = items.orderBy(F.length("text").desc()).first().text
+    plain = " ".join(f"calm word {i}" for i in range(40))
+    rows = [(1, None), (None, None), (None, plain + " x"), (2, ""), (3, plain), (3, plain), (3, "other text for the same id here"), (4, plain), (5, bad), (6, item), (6, "clean text of that id"), (7, "password = hunter22 x"), (8, "long word " * 60_000)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "y", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __leak int, _all string, kept int")
+    return docs.withColumns({"__leak": F.lit(9), "_all": F.lit("z"), "kept": F.lit(9)}).unionByName(df.withColumn("doc_id", F.col("doc_id") + 900_000)), rows
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    docs, rows = odd
+    want = sorted(rows, key=str)
+    gone = {"toxicity": {5}, "near_dedup": {4}, "decontamination": set(), "secrets": set()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}").where("doc_id > 900000 or doc_id is null")  # the others were for the model
+        want = [r for r in want if r[0] not in gone[name]]
+        if name == "near_dedup":
+            want.remove(next(r for r in want if r[0] == 3 and r[1].startswith("calm")))
+        if name == "decontamination":
+            want.remove((6, rows[9][1]))
+        if name == "secrets":
+            want = [(i, "[REDACTED] x" if i == 7 else t) for i, t in want]
+        got = docs.collect()
+        assert sorted(((r.doc_id and r.doc_id - 900_000, r.text) for r in got), key=str) == sorted(want, key=str), name
+        assert all(r["__leak"] == 1 and r["_all"] == "y" and r["kept"] == 0 for r in got)
+    assert [r.n_chars for r in docs.where("doc_id = 900007").collect()] == [12]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in packed) == len(want)
+
+
 def test_empty_input(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
