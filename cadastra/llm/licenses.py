@@ -2,9 +2,11 @@
 
 A text is reduced to its words (runs of ASCII digits, letters in lower case and
 characters above ASCII). Rules are regular expressions over whole words, each
-gated by a keyword: a rule is tried where its keyword stands in the words, and
-nothing else is asked of a text. Where detections overlap, one that lies within another of
-the same or higher priority is suppressed; partly overlapping ones both stay.
+gated by a keyword and by its triggers, words of which every match holds one: a
+text's words are looked up among all triggers at once, and a rule is tried where
+a trigger of it and its keyword stand. Where detections overlap, one that lies
+within another of the same or higher priority is suppressed; partly overlapping
+ones both stay.
 
 Defined cases: a null or empty text has no word and no label, score 0; equal
 detections count once, by rule order; repeated rows and null ids are scanned one
@@ -208,6 +210,50 @@ def wrapped(pattern: str) -> str:
     return " " + pattern.replace(" ", "  ").replace("  ?", "(?:  )?") + " "
 
 
+#: Words that many texts hold; they trigger a rule only if it has no other word.
+COMMON = frozenset("a and any as at be by file for free in is it license licensed may must not of open or public released software source the this to under use version with work you 0 1 2 3 4".split())
+
+
+def expansions(pattern: str) -> list[str]:
+    """Every text that a rule's pattern stands for, with an asterisk for the runs of free words."""
+
+    def sequence(at: int) -> tuple[list[str], int]:
+        every: list[str] = []
+        out = [""]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                every, out, at = every + out, [""], at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                part, at = sequence(at + 3)
+                at += 1
+            elif pattern.startswith("[^ ]+", at):
+                part, at = ["*"], at + 5
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                part, at = list(pattern[at + 1 : end]), end + 1
+            else:
+                part, at = [pattern[at]], at + 1
+            if at < len(pattern) and pattern[at] == "{":
+                part, at = ["", *part] if pattern[at + 1] == "0" else part, pattern.index("}", at) + 1
+            elif at < len(pattern) and pattern[at] == "?":
+                part, at = ["", *part], at + 1
+            out = [x + y for x in out for y in part]
+        return every + out, at
+
+    return sequence(0)[0]
+
+
+def triggers(pattern: str) -> frozenset[str]:
+    """Words of which every match of the pattern holds one; one word where that can be."""
+    each = [{w for w in x.split() if "*" not in w} for x in expansions(pattern)]
+    rank = lambda w: (w not in COMMON, len(w), w)
+    always = frozenset.intersection(*map(frozenset, each))
+    best = max(always, key=rank, default=None)
+    chosen = frozenset(max(words, key=rank) for words in each) if all(each) else frozenset()
+    return frozenset([best]) if best and (best not in COMMON or chosen & COMMON) else chosen
+
+
 def _words(x: Column) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("int")
 
@@ -215,22 +261,26 @@ def _words(x: Column) -> Column:
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own: list[Rule] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     table = rules() if own is None else own
-    by_keyword: dict[str, list[Column]] = {}
+    by_trigger: dict[str, list[Column]] = {}
     for k, r in enumerate(table):
-        rule = F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(wrapped(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
-        by_keyword.setdefault(r.keyword.replace(" ", "  "), []).append(rule)
-    literal = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
+        rule = F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword.replace(" ", "  ")).alias("keyword"), F.lit(wrapped(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
+        words = triggers(r.pattern)
+        if not words:
+            raise ValueError(f"no word stands in every match of {r.pattern}")
+        for word in words:
+            by_trigger.setdefault(word, []).append(rule)
+    known = F.array(*[F.lit(w) for w in by_trigger])
+    rules_of = F.create_map(*[x for w, v in by_trigger.items() for x in (F.lit(w), F.array(*v))])
     lower = docs.select(F.col(id_col).cast("long").alias("doc_id"), lower_ascii(F.col(text_col)).alias("lower"))
-    parts = F.regexp_extract_all("lower", F.lit(WORDS), F.lit(0))
-    text = F.concat(F.lit(" "), F.array_join(parts, "  "), F.lit(" "))
-    counted = lower.select("doc_id", F.regexp_count("lower", F.lit(WORDS)).cast("long").alias("n_words"), text.alias("words"))
+    cut = lower.select("doc_id", F.regexp_extract_all("lower", F.lit(WORDS), F.lit(0)).alias("parts"))
+    counted = cut.select("doc_id", F.size("parts").cast("long").alias("n_words"), F.array_intersect(known, "parts").alias("seen"), F.concat(F.lit(" "), F.array_join("parts", "  "), F.lit(" ")).alias("words"))
 
     def detect(r: Column) -> Column:
         found = places(F.col("words"), r["pattern"], measure=_words)
         return F.transform(found, lambda m: F.struct(m["at"].alias("at"), (-m["to"]).alias("back"), (-r["priority"]).alias("rank"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight")))
 
-    tried = F.flatten(F.transform(F.filter(literal, lambda g: F.contains(F.col("words"), g["keyword"])), lambda g: g["rules"]))
-    hits = F.array_sort(F.flatten(F.transform(tried, detect)))
+    tried = F.filter(F.flatten(F.transform("seen", lambda w: F.element_at(rules_of, w))), lambda r: F.contains(F.col("words"), r["keyword"]))
+    hits = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(tried), detect))))
     no_place = F.expr("cast(array() as array<int>)")
     base = [F.when(F.contains("words", F.lit(wrapped(p))), F.transform(places(F.col("words"), F.lit(wrapped(p)), measure=_words), lambda m: m["at"])).otherwise(no_place).alias(f"base_{k}") for k, (_, p) in enumerate(BASE)]
     seen = counted.select("doc_id", "n_words", hits.alias("hits"), *base)

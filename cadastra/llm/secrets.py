@@ -62,7 +62,7 @@ STAY, LEAVE, CHARACTER = 120.0, 15.0, 10.0
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    return places(text, F.lit(pattern), group)
+    return F.when(text.rlike(pattern), places(text, F.lit(pattern), group)).otherwise(F.expr(NO_SPANS))
 
 
 def _tail(z: Column) -> Column:

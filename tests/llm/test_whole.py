@@ -4,19 +4,24 @@ import re
 
 import pytest
 
-from cadastra.llm.licenses import rules, scan_licenses
+from cadastra.llm.licenses import COMMON, expansions, rules, scan_licenses, triggers
 
 
 def example(pattern: str) -> str:
-    """A text that the pattern matches in full: the first of each choice, nothing optional."""
-    out = re.sub(r"\(\?: \[\^ \]\+\)\{0,\d+\}", "", re.sub(r"\(\?: \[\^ \]\+\)\{1,\d+\}", " x", pattern))
-    while (inner := re.sub(r"\(\?:([^()]*)\)(\?)?", lambda m: "" if m[2] else m[1].split("|")[0], out)) != out:
-        out = inner
-    out = re.sub(r".\?", "", re.sub(r"\[(.)[^\]]*\]", r"\1", out.split("|")[0]))
+    """A text that the pattern matches in full."""
+    out = next(x for x in (y.replace("*", "x") for y in expansions(pattern)) if x)
     assert re.fullmatch(pattern, out), (pattern, out)
     return out
 
 
+def test_expansions_and_triggers_of_all_rules():
+    for r in rules():
+        every, words = expansions(r.pattern), triggers(r.pattern)
+        assert words and all(re.fullmatch(r.pattern, x.replace("*", "free words")) or re.fullmatch(r.pattern, x.replace("*", "word")) for x in every), r
+        assert all(words & set(x.split()) for x in every), r
+    assert sum(bool(triggers(r.pattern) & COMMON) for r in rules()) <= 6
+
+
 @pytest.fixture(scope="module")
 def labels(spark):
     def of(texts: list[str]) -> list[set[str]]:
