@@ -15,12 +15,36 @@ from pyspark.sql.types import FractionalType, NumericType, TimestampNTZType, Tim
 
 # Fixed values of the inference.
 TOLERANCE_GROUPS, STRICT_GROUPS, NEAR_UNIQUE, CODE_SHAPED, COLLAPSE = 2, 10, 0.9, 0.5, 0.3
-NOISE = re.compile(r"^(fid|ogc_fid|objectid(_\d+)?|shape_?(area|leng|length)|geom(etry)?|id|gid)$", re.I)
+# Columns that programs add by themselves, and how long a name can be in a DBF file.
+NOISE = ["objectid", "globalid", "fid", "shape_leng", "shape_length", "shape__length", "shape_area", "shape__area", "ogc_fid", "ogc_fid_orig", "fid_orig"]
+DBF_NAME = 10
+GEOMETRY = ["geom", "geometry"]
+
+
+def is_noise(column: str) -> bool:
+    """A noise column, maybe numbered; a number at the end of a name cut to DBF_NAME characters may stand in a cut name."""
+    low = column.lower()
+    bare = re.sub(r"_\d+$", "", low)
+    return low in NOISE or (bare != low and (bare in NOISE or (len(low) == DBF_NAME and any(x.startswith(bare) for x in NOISE))))
 
 
 def candidate_columns(df: DataFrame) -> list[str]:
-    """Columns that may take part: neither noise nor temporal."""
-    return [f.name for f in df.schema if not NOISE.match(f.name) and not isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
+    """Columns that may take part: neither noise, geometry nor temporal."""
+    return [f.name for f in df.schema if not is_noise(f.name) and f.name.lower() not in GEOMETRY and not isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
+
+
+def coarser_groupings(df: DataFrame, codes: list[str], taken: set[str]) -> list[str]:
+    """Columns outside the levels that group the units of one: contained by it, with fewer values and more than one."""
+    left = [c for c in candidate_columns(df) if c not in taken and not isinstance(df.schema[c].dataType, FractionalType)]
+    if not left or not codes:
+        return []
+    counts = {r.column_name: r.distinct_values for r in populated(df, [*left, *codes]).collect()}
+    out = set()
+    for code in codes:
+        for r in containment(df, code, left).collect():
+            if holds(r.groups, r.violators) and 1 < counts[r.coarser] < counts[code]:
+                out.add(r.coarser)
+    return [c for c in left if c in out]
 
 
 def populated(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -109,6 +133,8 @@ def infer_levels(df: DataFrame, columns: list[str] | None = None) -> list[Level]
     columns = columns or candidate_columns(df)
     measured = {r.column_name for r in fractional(df).collect() if r.fractional} if any(isinstance(df.schema[c].dataType, FractionalType) for c in columns) else set()
     columns = [c for c in columns if c not in measured]
+    if not columns:
+        return []
     stats = {r.column_name: r for r in populated(df, columns).collect()}
     columns = [c for c in columns if stats[c].filled and stats[c].distinct_values > 1]
     inside = {}

@@ -53,6 +53,10 @@ VIEWS = {
     "src_match": """
         SELECT l_suppkey AS iso, l_linenumber AS source, CAST(count(*) AS BIGINT) AS units, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(max(l_quantity) AS BIGINT) AS depth
         FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+    "people": """
+        SELECT CAST(l_suppkey % 50 AS BIGINT) AS unit, CAST(year(l_shipdate) AS BIGINT) AS year,
+               CASE l_linenumber WHEN 1 THEN 'T_TL' WHEN 2 THEN 'M_TL' WHEN 3 THEN 'F_TL' WHEN 4 THEN 'T_00_04' WHEN 5 THEN 'T_05_09' ELSE 'T_10_14' END AS grp, CAST(sum(l_quantity) AS DOUBLE) AS people
+        FROM lineitem GROUP BY 1, 2, 3""",
 }
 
 
