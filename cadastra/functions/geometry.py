@@ -73,9 +73,19 @@ def with_bounds(df: DataFrame, geom: str = "geom") -> DataFrame:
 
 
 def union_agg(df: DataFrame, keys: list[str], geom: str = "geom", fan: int = 64) -> DataFrame:
-    """Union of the geometries of each key, in a tree: groups of fan pieces first, so no task holds a whole large group."""
-    part = F.pmod(F.xxhash64(geom), F.greatest(F.lit(1), F.ceil(F.col("_n") / fan)))
+    """Union of the geometries of each key, in a tree of as many levels as the largest group needs.
+
+    Each level unites about fan different pieces in one call, so no task holds a
+    whole large group.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    first = df.join(sizes.withColumnsRenamed({k: f"_k_{k}" for k in keys}), [df[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else df.crossJoin(sizes)
-    first = first.groupBy(*keys, part.alias("_part")).agg(F.collect_list(geom).alias("_g")).select(*keys, geo("union_all", "_g").alias(geom))
-    return first.groupBy(*keys).agg(F.collect_list(geom).alias("_g")).select(*keys, geo("union_all", "_g").alias(geom))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest > fan:
+        of = sizes.where(F.col("_n") > fan).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        df = df.join(of, [df[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left") if keys else df.crossJoin(of)  # without keys one row
+        df = df.select(*keys, geom, F.coalesce("_n", F.lit(1)).alias("_n"))
+        while largest > fan:
+            df = df.withColumn("_n", F.ceil(F.col("_n") / fan)).withColumn("_part", F.pmod(F.xxhash64(geom), F.col("_n")))
+            df = df.groupBy(*keys, "_n", "_part").agg(F.collect_set(geom).alias("_g")).select(*keys, "_n", geo("union_all", "_g").alias(geom))
+            largest = -(-largest // fan)
+    return df.groupBy(*keys).agg(F.collect_list(geom).alias("_g")).select(*keys, geo("union_all", "_g").alias(geom))

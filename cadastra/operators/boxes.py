@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,31 +22,54 @@ def overlaps(p: str = "a", q: str = "b") -> Column:
     return (c(f"{p}_xmin") <= c(f"{q}_xmax")) & (c(f"{p}_xmax") >= c(f"{q}_xmin")) & (c(f"{p}_ymin") <= c(f"{q}_ymax")) & (c(f"{p}_ymax") >= c(f"{q}_ymin"))
 
 
-def cell_size(a: DataFrame, b: DataFrame) -> float:
-    """A grid cell of twice the mean box, so that most boxes meet a few cells."""
-    wide = a.select(*BOX).union(b.select(*BOX)).agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
-    return float(wide) * 2 if wide else 1.0
+def _extent(grow: float = 0.0) -> Column:
+    return F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) + 2 * grow
+
+
+def _order(grow: float = 0.0) -> Column:
+    """The power of two that an extent reaches at most; null for points."""
+    return F.when(_extent(grow) > 0, F.ceil(F.log2(_extent(grow))))
+
+
+def size_classes(a: DataFrame, b: DataFrame, pad: float = 0.0, cell: float | None = None) -> tuple[float, list[int]]:
+    """(least cell, powers of two of it that boxes need): one aggregation to a row for each order of magnitude.
+
+    The least cell is twice the mean extent unless it is given.
+    """
+    order = lambda df, grow: df.select(_extent(grow).alias("e"), _order(grow).cast("int").alias("order")).where("e is not null").groupBy("order").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("whole"))
+    rows = order(a, pad).union(order(b, 0.0)).collect()
+    many, whole = sum(r.n for r in rows), sum(r.whole for r in rows)
+    least = cell or (2 * whole / many if many and whole else 1.0)
+    needed = {max(0, math.ceil(r.order - math.log2(least))) for r in rows if r.order is not None}
+    return least, sorted(needed | {0})
 
 
 def box_join(a: DataFrame, b: DataFrame, *, pad: float = 0.0, cell: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes (a's padded) meet, with a_ and b_ columns.
 
-    Both sides are dealt to grid cells and joined on the cell, an equi-join that
-    shuffles and splits skew as any other; a pair counts only in the cell of the
+    Boxes belong to size classes, each with a grid whose cells are as large as
+    its boxes, so a box meets four cells at most however wide it is. Both sides
+    are dealt to the cells of their own class and of the larger ones and joined
+    on class and cell, an equi-join that shuffles and splits skew as any other.
+    A pair counts only in the class of its larger box, and in the cell of the
     least corner of its intersection, so no deduplication follows.
     """
-    size = cell or cell_size(a, b)
+    least, classes = size_classes(a, b, pad, cell)
 
     def dealt(df: DataFrame, p: str, grow: float) -> DataFrame:
+        df = prefixed(df.withColumn("class", F.greatest(F.lit(0), F.coalesce(F.ceil(_order(grow) - math.log2(least)).cast("int"), F.lit(0)))), p)
+        df = df.withColumn("level", F.explode(F.filter(F.array(*[F.lit(k) for k in classes]), lambda k: k >= F.col(f"{p}_class"))))
+        size = F.pow(F.lit(2.0), F.col("level")) * least
         low = [F.floor((F.col(f"{p}_{c}") - grow) / size) for c in ("xmin", "ymin")]
         high = [F.floor((F.col(f"{p}_{c}") + grow) / size) for c in ("xmax", "ymax")]
-        df = prefixed(df, p).withColumn("cx", F.explode(F.sequence(low[0], high[0])))
-        return df.withColumn("cy", F.explode(F.sequence(low[1], high[1])))
+        return df.withColumn("cx", F.explode(F.sequence(low[0], high[0]))).withColumn("cy", F.explode(F.sequence(low[1], high[1])))
 
     c = F.col
     near = (c("a_xmin") - pad <= c("b_xmax")) & (c("a_xmax") + pad >= c("b_xmin")) & (c("a_ymin") - pad <= c("b_ymax")) & (c("a_ymax") + pad >= c("b_ymin"))
+    size = F.pow(F.lit(2.0), c("level")) * least
     home = (c("cx") == F.floor(F.greatest(c("a_xmin") - pad, c("b_xmin")) / size)) & (c("cy") == F.floor(F.greatest(c("a_ymin") - pad, c("b_ymin")) / size))
-    return dealt(a, "a", pad).join(dealt(b, "b", 0.0), ["cx", "cy"]).where(near & home).drop("cx", "cy")
+    pairs = dealt(a, "a", pad).join(dealt(b, "b", 0.0), ["level", "cx", "cy"])
+    return pairs.where((F.greatest("a_class", "b_class") == c("level")) & near & home).drop("level", "cx", "cy", "a_class", "b_class")
 
 
 def area(p: str) -> Column:

@@ -48,7 +48,7 @@ def j21(spark, d):
     from cadastra.shipping import ship
 
     ship(spark)
-    return layerview.flagged_units(units, names.whitespace(view(spark, d, "names")), {2: "adm2_code"}).select("p_partkey")
+    return layerview.flagged_units(units, names.CHECKS["whitespace"](view(spark, d, "names")), {2: "adm2_code"}).select("p_partkey")
 
 
 @query("P13_carry_columns", with_views("SELECT a.fid, o.code AS overlay_code, o.name AS overlay_name, o.fid AS overlay_fid FROM units_a a, (SELECT * FROM overlay ORDER BY fid LIMIT 1) o"))
