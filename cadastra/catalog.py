@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.registry import ORACLES, QUERIES, Query
 
-MODULES = ("spatial_queries", "name_queries", "table_queries", "topology_queries", "polygon_queries", "more_queries", "level_queries", "relation_queries")
+MODULES = ("spatial_queries", "name_queries", "table_queries", "topology_queries", "polygon_queries", "more_queries", "level_queries", "relation_queries", "workflow_queries")
 for _name in MODULES:
     import_module(f"cadastra.plans.{_name}")
 

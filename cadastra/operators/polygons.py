@@ -173,9 +173,10 @@ def clean_coverage(layer: DataFrame, gap_width: float = 0.0, grid: float = SNAP)
 
 
 def stitch(layer: DataFrame, gap_width: float = 0.0, steps: int = 9) -> DataFrame:
-    """clean_coverage on ever coarser grids until no edge is invalid, steps at most."""
+    """clean_coverage on ever coarser grids until no overlap is left, steps at most; raises ValueError if one is."""
     for k in range(1, steps + 1):
         out = stored(with_bounds(clean_coverage(layer, gap_width, SNAP * k)))
-        if not overlap_regions(out).where(geo("area", "geom") >= SLIVER).limit(1).count():
+        left = overlap_regions(out).where(geo("area", "geom") >= SLIVER).limit(1).count()
+        if not left:
             return out.select("fid", "geom")
-    return out.select("fid", "geom")
+    raise ValueError(f"overlaps are left after {steps} grids")

@@ -72,6 +72,8 @@ def with_views(sql: str) -> str:
     """Oracle SQL over the derived views that it names."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     body = sql.strip()
+    if not used:
+        return body
     ctes = ", ".join(f"{n} AS ({VIEWS[n].replace('VARCHAR(9)', 'VARCHAR')})" for n in used)
     if re.match(r"WITH RECURSIVE\b", body):
         return f"WITH RECURSIVE {ctes}, {body[len('WITH RECURSIVE'):].lstrip()}"
