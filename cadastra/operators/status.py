@@ -110,3 +110,9 @@ def resolve_names(names: DataFrame, countries: DataFrame, overrides: dict[str, s
     words = F.split(low, r"\W+")
     loose = exact.where("iso is null").drop("iso").join(F.broadcast(c), F.forall(words, lambda x: F.contains(F.col("c"), x)), "left").groupBy("name").agg(F.min("iso").alias("iso"))  # countries: a few hundred
     return exact.where("iso is not null").union(loose.select(*exact.columns))
+
+
+def key_values(labels: DataFrame, column: str) -> DataFrame:
+    """labels with key and value of "key: value" texts; those without a lower-case key or a value go."""
+    good = labels.where(F.col(column).rlike("^[a-z][a-z_]*: *[^ ]"))
+    return good.withColumns({"key": F.substring_index(column, ":", 1), "value": F.trim(F.split(column, ":")[1])})

@@ -97,15 +97,47 @@ def t14(spark, d):
     return view(spark, d, "src_match").where("matched < units").groupBy("iso").agg(F.array_sort(F.collect_list("source")).alias("sources"))
 
 
-@query("T17_resolve_names", "SELECT n_name AS name, n_nationkey AS iso FROM nation")
+@query("C13_update_hierarchy")
+def c13(spark, d):
+    """Both levels of the zoned layer, carried over to its next version; tested on a small hierarchy."""
+    out, _ = update.update_hierarchy(*_versions(spark, d), [1, 2], codes.CodeFormat("R", "-", [2, 4]))
+    return out.select("fid", "adm1_code", "adm2_code", "predecessor_adm1_code", "predecessor_adm2_code")
+
+
+@query("C15_update_changelog")
+def c15(spark, d):
+    return update.update_hierarchy(*_versions(spark, d), [1, 2], codes.CodeFormat("R", "-", [2, 4]))[1]
+
+
+def _versions(spark, d):
+    zone = F.floor(F.col("ymin") / 40)
+    old = view(spark, d, "units_a").select("fid", F.concat(F.lit("R-"), codes.padded(zone + 1, 2)).alias("adm1_code"), F.col("name").alias("adm2_name"), *boxes.BOX)
+    number = F.row_number().over(Window.partitionBy("adm1_code").orderBy("fid"))
+    old = old.withColumn("adm2_code", F.concat("adm1_code", F.lit("-"), codes.padded(number, 4)))
+    new = view(spark, d, "units_b").select("fid", zone.cast("string").alias("adm1_code"), F.col("code").alias("adm2_code"), F.col("name").alias("adm2_name"), *boxes.BOX)
+    return old, new.dropDuplicates(["adm2_code"])
+
+
+@query("T17_resolve_names", r"""WITH n AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN substr(n_name, 2, 4) WHEN 2 THEN ' ' || n_name || ' ' ELSE 'Name of ' || n_nationkey END AS name FROM nation)
+    SELECT DISTINCT name, CASE WHEN lower(trim(name)) = 'name of 3' THEN 900 WHEN e.n_nationkey IS NOT NULL THEN e.n_nationkey ELSE (SELECT min(n_nationkey) FROM nation c WHERE list_bool_and(list_transform(regexp_split_to_array(lower(trim(name)), '\W+'), lambda w: contains(lower(c.n_name), w)))) END AS iso
+    FROM n LEFT JOIN nation e ON lower(e.n_name) = lower(trim(name))""")
 def t17(spark, d):
+    """Nation names as spelt elsewhere: in other case, with spaces, a part of them, overridden, or unknown."""
     n = table(spark, d, "nation")
-    return status.resolve_names(n.select(F.col("n_name").alias("name")), n.select(F.col("n_name").alias("country"), F.col("n_nationkey").alias("iso")), {})
+    k = F.col("n_nationkey")
+    spelt = F.when(k % 4 == 0, F.lower("n_name")).when(k % 4 == 1, F.substring("n_name", 2, 4)).when(k % 4 == 2, F.concat(F.lit(" "), "n_name", F.lit(" "))).otherwise(F.concat(F.lit("Name of "), k.cast("string")))
+    return status.resolve_names(n.select(spelt.alias("name")).distinct(), n.select(F.col("n_name").alias("country"), k.alias("iso")), {"name of 3": 900})
 
 
-@query("T19_key_value_labels", r"SELECT event_id, regexp_extract(props, '\"([a-z_]+)\":', 1) AS first_key FROM events")
+@query("T19_key_value_labels", r"""SELECT event_id, string_split(label, ':')[1] AS key, trim(string_split(label, ':')[2]) AS value FROM (SELECT event_id, unnest(string_split(event_type || ': ' || (user_id % 7) || ';bad' || (event_id % 3) || ';' || CASE event_id % 3 WHEN 0 THEN 'k:' WHEN 1 THEN ': v' ELSE 'K2:x y' END, ';')) AS label FROM events) t
+    WHERE regexp_matches(label, '^[a-z][a-z_]*: *[^ ]')""")
 def t19(spark, d):
-    return table(spark, d, "events").select("event_id", F.regexp_extract("props", r'"([a-z_]+)":', 1).alias("first_key"))
+    """Labels key: value of an event, those that are well formed: a lower-case key and a value."""
+    k = F.col("event_id") % 3
+    last = F.when(k == 0, "k:").when(k == 1, ": v").otherwise("K2:x y")
+    text = F.concat("event_type", F.lit(": "), (F.col("user_id") % 7).cast("string"), F.lit(";bad"), k.cast("string"), F.lit(";"), last)
+    each = table(spark, d, "events").select("event_id", F.explode(F.split(text, ";")).alias("label"))
+    return status.key_values(each, "label").select("event_id", "key", "value")
 
 
 @query("T22_country_order", with_views("SELECT iso, n, row_number() OVER (ORDER BY CASE best WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END, n DESC, iso) AS place FROM (SELECT iso, count(*) AS n, min(priority) AS best FROM orders_work GROUP BY iso) t"))
