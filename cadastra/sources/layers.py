@@ -103,13 +103,23 @@ def attributes(df: DataFrame, geometry: str) -> DataFrame:
 
 
 def geo_metadata(spark: SparkSession, path: str) -> dict | None:
-    """The `geo` entry of a Parquet footer, read from a local path; None if there is none or it can't be parsed."""
-    import pyarrow.parquet as pq
-
+    """The `geo` entry of a Parquet footer (of the first file of a folder), from any store that Spark reads; None if there is none or it is not JSON."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    if store.getFileStatus(at).isDirectory():
+        files = sorted((f.getPath().toString() for f in store.listStatus(at) if f.getPath().getName().endswith(".parquet")))
+        if not files:
+            return None
+        at = jvm.org.apache.hadoop.fs.Path(files[0])
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+    try:
+        text = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
     try:
-        meta = pq.read_schema(re.sub("^file://", "", path)).metadata or {}
-        return json.loads(meta[b"geo"]) if b"geo" in meta else None
-    except (OSError, ValueError, pa.ArrowException):
+        return json.loads(text) if text else None
+    except ValueError:
         return None
 
 
