@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -77,6 +79,21 @@ def write_layer(layer: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise NotImplementedError(f"no writer for {fmt}")
 
 
+def with_geometry(table: DataFrame, layer: DataFrame, key: str = "fid") -> DataFrame:
+    """A table with the geometry of its units as first column, for Parquet; rows without a unit keep a null."""
+    shapes = layer.select(F.col(key).alias("_key"), F.col("geom"))
+    return table.join(shapes, F.col(key) == F.col("_key"), "left").select("geom", *table.columns)
+
+
+def zip_outputs(outputs: dict[str, bytes]) -> bytes:
+    """One archive of written files (a download of an export: what fits a reply)."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in sorted(outputs.items()):
+            z.writestr(name, data)
+    return held.getvalue()
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A CSV report with header; the first column's name carries a byte-order mark, so spreadsheets read it as UTF-8."""
     names = list(df.columns)

@@ -250,6 +250,10 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
         kinds = {n: "double" if any(isinstance(r.get(n), float) for r in rows) else "bigint" if all(r.get(n) is None or isinstance(r[n], int) for r in rows) else "string" for n in names}
         values = [(i + 1, r["geom"], *(None if r.get(n) is None else float(r[n]) if kinds[n] == "double" else r[n] if kinds[n] == "bigint" else str(r[n]) for n in names)) for i, r in enumerate(rows)]
         return spark.createDataFrame(values, ", ".join(["fid bigint", "geom binary", *(f"`{n}` {kinds[n]}" for n in names)]))
+    from cadastra.sources.vector import READERS, read_vector
+
+    if kind in READERS:
+        return read_vector(spark, path, kind)
     raise NotImplementedError(f"no reader for {path}")
 
 
