@@ -24,7 +24,7 @@ FUNCTIONS = {
     "geo_intersection": ("Intersection", "binary"), "geo_shared_line": ("SharedLine", "binary"), "geo_difference": ("Difference", "binary"), "geo_overlaps": ("Overlaps", "boolean"), "geo_touches": ("Touches", "boolean"),
     "geo_intersects": ("Intersects", "boolean"), "geo_covers": ("Covers", "boolean"), "geo_equal": ("EqualShape", "boolean"), "geo_buffer": ("Buffer", "binary"), "geo_on_grid": ("OnGrid", "binary"),
     "geo_distance": ("Distance", "double"), "geo_union_all": ("UnionAll", "binary"), "geo_invalid_edges": ("InvalidEdges", "int"), "geo_equal_area": ("EqualArea", "binary"),
-    "geo_segments": ("Segments", "array<double>"), "geo_sample": ("Sample", "array<double>"), "geo_territories": ("Territories", "array<binary>"),
+    "geo_contact": ("Contact", "double"), "geo_segments": ("Segments", "array<double>"), "geo_sample": ("Sample", "array<double>"), "geo_territories": ("Territories", "array<binary>"),
 }
 _registered: set[str] = set()
 

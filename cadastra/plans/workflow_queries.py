@@ -83,6 +83,20 @@ def g26(spark, d):
     return workflows.clip_run(units, _boundary(spark))[1]
 
 
+@query("G07_detached_pieces")
+def g07(spark, d):
+    """Strips of the layer cut by a comb: the pieces of a strip beyond its largest one, by outcome (a test has each outcome)."""
+    from cadastra.functions.geometry import union_agg
+    from cadastra.operators.detached import outcomes
+
+    strips = union_agg(_zones(spark, d).select(F.col("group").alias("fid"), "geom"), ["fid"])
+    teeth = spark.range(0, 400, 20).select(geo("from_text", F.format_string("POLYGON((%s -1,%s -1,%s 9999,%s 9999,%s -1))", "id", F.col("id") + 13, F.col("id") + 13, "id", "id")).alias("geom"))
+    comb = union_agg(teeth, [])
+    cut, _ = polygons.clip(polygons.bounded(strips), comb)
+    found = outcomes(cut, strips, comb, strips)
+    return found.groupBy("fid", "outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 3).alias("area"))
+
+
 @query("G28_mosaic", with_views(_CUT))
 def g28(spark, d):
     units = layer(spark, d, "units_a")
