@@ -176,8 +176,8 @@ def _read(ids: np.ndarray, freq: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(ids, freq)
         for batch in batches:
-            for part, first, docs, lengths, payload in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                flat = coder.decode(payload).astype("<u4")
+            for k, (part, first, docs, lengths) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                flat = coder.decode(memoryview(batch.column(4)[k].as_buffer())).astype("<u4", copy=False)
                 at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
                 cols = [pa.array([part] * len(docs)), pa.array(docs, pa.int64()), pa.array(first + at[:-1]), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
