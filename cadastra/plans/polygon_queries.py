@@ -71,9 +71,9 @@ def g36(spark, d):
     return b.select("fid", F.round(F.col("b")[0], 1).alias("x"), F.round(F.col("b")[1], 1).alias("y"))
 
 
-@query("G37_exterior_edges")
+@query("G37_exterior_edges", with_views("SELECT a.fid, 0 AS level, CAST(10 * (4 - count(b.fid)) AS DOUBLE) AS size FROM units_a a LEFT JOIN units_a b ON (abs(a.xmin - b.xmin) = 10 AND a.ymin = b.ymin) OR (abs(a.ymin - b.ymin) = 10 AND a.xmin = b.xmin) GROUP BY a.fid HAVING count(b.fid) < 4"))
 def g37(spark, d):
-    return polygons.exterior_edges(layer(spark, d, "units_a"), 0).select("fid", "level", geo("perimeter", "geom").alias("size"))
+    return polygons.exterior_edges(layer(spark, d, "units_a"), 0).select("fid", "level", F.round(geo("perimeter", "geom"), 6).alias("size"))
 
 
 _ZONED = "SELECT fid, 'Z' || CAST(floor(ymin / 40) AS BIGINT) AS adm1_code, 'Z' || CAST(floor(ymin / 40) AS BIGINT) || '-' || fid AS adm2_code, xmin, ymin, xmax, ymax FROM units_a"

@@ -20,7 +20,8 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, oracle.SF).count() >= 0
+    """Queries without SQL have rows here; other tests compare them with plain versions."""
+    assert QUERIES[name](spark, oracle.SF).count() > 0
 
 
 def test_every_sql_has_a_query():
