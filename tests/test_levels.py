@@ -92,9 +92,9 @@ def test_html_table(spark):
 
 
 def test_decisions_sheet(spark):
-    rows = [(1, " ken ", "Kenya ", "null", "TRUE", ""), (2, "KEN", "Kenya", " ocha ", "false", "2024"), (3, "", "none", "x", "true", ""), (4, None, "none", "x", "true", "")]
+    rows = [(1, " ken ", "Kenya ", "null", "TRUE", ""), (2, "KEN", "Kenya", " src2 ", "false", "2024"), (3, "", "none", "x", "true", ""), (4, None, "none", "x", "true", "")]
     got = tables.decisions(spark.createDataFrame(rows, "_row int, ` ISO3` string, Country_Name string, SELECTED_SOURCE string, accepted string, last_updated string")).collect()
-    assert [tuple(r) for r in got] == [("KEN", "Kenya", "ocha", False, False, "", "2024")]
+    assert [tuple(r) for r in got] == [("KEN", "Kenya", "src2", False, False, "", "2024")]
 
 
 def test_decoded_rows_are_those_of_the_plain_loop(spark):
