@@ -31,7 +31,7 @@ def unique_values(layer: DataFrame, column: str) -> DataFrame:
 def with_keys(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select(F.col("fid").alias("a_fid"), F.col("code").alias("code_a"), F.col("name").alias("name_a"))
     right = b.select(F.col("fid").alias("b_fid"), F.col("code").alias("code_b"), F.col("name").alias("name_b"))
-    return pairs.join(left, "a_fid", "left").join(right, "b_fid", "left")
+    return pairs.join(left.hint("merge"), "a_fid", "left").join(right.hint("merge"), "b_fid", "left")
 
 
 def identity_pairs(keyed: DataFrame, a: DataFrame, b: DataFrame, options: ChangeOptions) -> DataFrame:
@@ -120,7 +120,7 @@ class Change:
         rows = rows.select(*keys, F.round("coverage_a", 3).alias("a_in_b"), F.round("coverage_b", 3).alias("b_in_a"), F.round("iou", 3).alias("similarity"))
         out = rows
         for side, kind, layer in (("a", "removed", self.a), ("b", "created", self.b)):
-            alone = layer.join(of.where((F.col("side") == side) & (F.col("relationship_class") == kind)).select("fid", "relationship_class"), "fid")
+            alone = layer.hint("merge").join(of.where((F.col("side") == side) & (F.col("relationship_class") == kind)).select("fid", "relationship_class"), "fid")
             alone = alone.select(F.col("code").alias(f"code_{side}"), F.col("name").alias(f"name_{side}"), "relationship_class")
             out = out.unionByName(alone, allowMissingColumns=True)
         return out.withColumns(echo)

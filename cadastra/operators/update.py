@@ -28,6 +28,7 @@ def update_level(old: DataFrame, new: DataFrame, parents: DataFrame, form: CodeF
     the old code as predecessor; merged and complex ones retire the old units.
     """
     change = change or compare(old, new, options)
+    old, parents = old.hint("merge"), parents.hint("merge")
     of = change.members.join(change.classes, "cluster")
     b = of.where("side = 'b'").select(F.col("fid").alias("new_fid"), "cluster", "relationship_class")
     a = of.where("side = 'a'").join(old.select("fid", "code"), "fid").groupBy("cluster").agg(F.min("code").alias("old_code"), F.count(F.lit(1)).alias("olds"))
@@ -38,7 +39,7 @@ def update_level(old: DataFrame, new: DataFrame, parents: DataFrame, form: CodeF
     tail = last_component(F.col("old_code"), form.delimiter) if form.delimiter else F.expr("substring(old_code, length(parent_code) + 1)")
     rows = rows.withColumn("kept_code", F.when(kind.isin(keeps), F.concat("parent_code", F.lit(form.delimiter), tail)))
     first = F.row_number().over(Window.partitionBy("kept_code").orderBy("new_fid"))
-    rows = rows.withColumn("kept_code", F.when(F.col("kept_code").isNotNull() & (first == 1), F.col("kept_code")))
+    rows = stored(rows.withColumn("kept_code", F.when(F.col("kept_code").isNotNull() & (first == 1), F.col("kept_code"))))
     retained = rows.where("kept_code is not null").select("new_fid", predecessor.alias("old_code"), F.col("kept_code").alias("new_code"), "relationship_class", F.lit("retained").alias("outcome"))
     # Numbers never come back: the start is above every old and kept number of the parent.
     codes = old.select("code").union(retained.select("new_code"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadastra.operators import assign, boxes, codes, layerview, names, status, update
 from cadastra.plans.views import view, with_views
 from cadastra.registry import query, table
+from cadastra.storage import stored
 
 
 @query("S13_layer_bounds", with_views("SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM units_b"))
@@ -74,10 +75,10 @@ def l04(spark, d):
 @query("C14_code_update")
 def c14(spark, d):
     old, new, zones = (view(spark, d, n) for n in ("units_a", "units_b", "overlay"))
-    zone = lambda layer: assign.best_overlap(boxes.overlap_pairs(layer, zones)).select(F.col("input_fid").alias("fid"), "overlay_fid").join(zones.select(F.col("fid").alias("overlay_fid"), F.col("code").alias("parent_code")), "overlay_fid")
+    zone = lambda layer: assign.best_overlap(boxes.overlap_pairs(layer, zones)).select(F.col("input_fid").alias("fid"), "overlay_fid").join(zones.select(F.col("fid").alias("overlay_fid"), F.col("code").alias("parent_code")).hint("merge"), "overlay_fid")
     number = F.row_number().over(Window.partitionBy("parent_code").orderBy("fid"))
-    coded = old.drop("code").join(zone(old), "fid").withColumn("code", F.concat("parent_code", F.lit("-"), codes.padded(number, 3))).drop("parent_code", "overlay_fid")
-    return update.update_level(coded, new, zone(new), codes.CodeFormat(delimiter="-", width=3))
+    coded = stored(old.drop("code").hint("merge").join(zone(old), "fid").withColumn("code", F.concat("parent_code", F.lit("-"), codes.padded(number, 3))).drop("parent_code", "overlay_fid"))
+    return update.update_level(coded, new, stored(zone(new)), codes.CodeFormat(delimiter="-", width=3))
 
 
 @query("T05_one_per_country", with_views("SELECT iso, id FROM (SELECT *, row_number() OVER (PARTITION BY iso ORDER BY CASE status WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END, created DESC, id) AS r FROM orders_work) t WHERE r = 1"))

@@ -55,3 +55,14 @@ def test_ids_follow_the_files(spark, tmp_path):
     spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit("x").alias("fid")).repartition(6).write.parquet(f"{tmp_path}/t")
     rows = with_fid(spark.read.parquet(f"{tmp_path}/t")).collect()
     assert sorted(r.fid for r in rows) == list(range(1, 1001)) and sorted(r.v for r in rows) == list(range(1000)) and {r.fid_orig for r in rows} == {"x"}
+
+
+def test_tables_of_small_files_are_not_broadcast(spark):
+    """1.2 million boxes compress to a file below the broadcast limit and are far larger in memory."""
+    from cadastra.operators.change import with_keys
+    from cadastra.storage import stored
+
+    rows = spark.range(100).selectExpr("id as fid", "'c' || id as code", "'n' || id as name", *[f"cast(id as double) as {c}" for c in boxes.BOX])
+    for df in (stored(rows).where("fid > 3").join(stored(rows).select("fid"), "fid"), boxes.box_join(stored(rows), stored(rows)), boxes.box_join(rows, rows), with_keys(rows.selectExpr("fid as a_fid", "fid as b_fid"), rows, rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
