@@ -16,6 +16,8 @@ from cadastra.operators.graph import components
 from cadastra.storage import stored
 
 SNAP = 1e-8
+#: The insides of two boxes meet; interiors of polygons meet in none of the others, so the kernel needn't be asked.
+MEET = "a_xmin < b_xmax and a_xmax > b_xmin and a_ymin < b_ymax and a_ymax > b_ymin"
 
 
 def bounded(layer: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 def overlap_regions(layer: DataFrame) -> DataFrame:
     """(unit_a, unit_b, geom) of pairs whose interiors meet."""
     one = layer.select("fid", "geom", *BOX)
-    pairs = box_join(one, one).where("a_fid < b_fid").where(geo("overlaps", "a_geom", "b_geom"))
+    pairs = box_join(one, one).where("a_fid < b_fid").where(MEET).where(geo("overlaps", "a_geom", "b_geom"))
     return pairs.select(F.col("a_fid").alias("unit_a"), F.col("b_fid").alias("unit_b"), geo("intersection", "a_geom", "b_geom").alias("geom")).where("geom is not null")
 
 
@@ -57,15 +59,16 @@ def clusters(layer: DataFrame) -> DataFrame:
 
 
 def gaps(layer: DataFrame) -> DataFrame:
-    """(gap, geom, width): holes of the union of each cluster, numbered by their boxes."""
-    joined = layer.select("fid", "geom").join(clusters(layer), "fid").select("cluster", "geom")
-    holes = union_agg(joined, ["cluster"]).select(F.explode(geo("holes", "geom")).alias("geom"))
-    # A hole that another cluster's polygon covers is none.
-    holes = with_bounds(holes).withColumn("fid", F.xxhash64("geom"))
-    inside = box_join(holes.select("fid", "geom", *BOX), layer.select("fid", "geom", *BOX)).where(geo("covers", "b_geom", geo("inside", "a_geom")))
+    """(gap, geom, width): holes of the union of the layer, numbered by their boxes. Stored: each is measured once."""
+    holes = union_agg(layer.select("geom"), []).select(F.explode(geo("holes", "geom")).alias("geom"))
+    holes = holes.withColumn("fid", F.xxhash64("geom")).repartition(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid")  # they come out of one row
+    holes = stored(with_bounds(holes.withColumn("width", geo("width", "geom"))))
+    # A hole whose inner point another polygon covers, apart from those around it, is none.
+    points = stored(with_bounds(holes.select("fid", geo("inside", "geom").alias("geom"))))
+    inside = box_join(points, layer.select("fid", "geom", *BOX)).where(geo("covers", "b_geom", "a_geom"))
     holes = holes.join(inside.select(F.col("a_fid").alias("fid")).distinct(), "fid", "left_anti")
     order = Window.orderBy(*BOX, F.sha2("geom", 256))  # gaps alone: a report
-    return holes.select(F.row_number().over(order).cast("long").alias("gap"), "geom", geo("width", "geom").alias("width"), *BOX)
+    return stored(holes.select(F.row_number().over(order).cast("long").alias("gap"), "geom", "width", *BOX))
 
 
 def micro_parts(layer: DataFrame, width: float) -> DataFrame:
@@ -159,7 +162,7 @@ def clean_coverage(layer: DataFrame, gap_width: float = 0.0, grid: float = SNAP)
     collapse keep their original shape.
     """
     base = stored(with_bounds(layer.select("fid", geo("on_grid", "geom", F.lit(grid)).alias("geom")).where("geom is not null")))
-    pairs = box_join(base.select("fid", "geom", *BOX), base.select("fid", "geom", *BOX)).where("a_fid > b_fid").where(geo("overlaps", "a_geom", "b_geom"))
+    pairs = box_join(base.select("fid", "geom", *BOX), base.select("fid", "geom", *BOX)).where("a_fid > b_fid").where(MEET).where(geo("overlaps", "a_geom", "b_geom"))
     taken = pairs.groupBy(F.col("a_fid").alias("fid")).agg(F.collect_list("b_geom").alias("g")).select("fid", geo("union_all", "g").alias("taken"))  # neighbours of one unit
     cut = base.join(taken, "fid", "left").select("fid", geo("difference", "geom", "taken").alias("cut"), "geom")
     flat = stored(with_bounds(cut.select("fid", F.coalesce("cut", "geom").alias("geom"))))

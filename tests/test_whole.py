@@ -1,5 +1,6 @@
 """Queries over whole tables against plain Python."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadastra import catalog
@@ -88,3 +89,23 @@ def test_validate_summary_has_gaps_and_micro_units(spark):
     micro = sum(min(x1 - x0, y1 - y0) <= 6 and (x1 - x0) * (y1 - y0) <= 6 * (x1 - x0 + y1 - y0) for x0, y0, x1, y1 in b)
     got = {(r.kind, r.severity): r["count"] for r in QUERIES["N15_validate_summary"](spark, SF).where("stage = 'topology'").collect()}
     assert got == {("overlap", "error"): overlaps, ("gap", "warn"): len(holes(b)), ("micro-polygon", "error"): micro}
+
+
+def test_width_of_a_rectangle_is_exact(spark):
+    """The cells of the middle line of a rectangle all reach the radius: splitting them down to the tolerance gave 10,000s of steps and a width just below the side."""
+    from cadastra.functions.geometry import geo, register_geometry
+
+    register_geometry(spark)
+    rows = spark.createDataFrame([(20.0, 10.0, 10.0), (30.0, 7.3, 7.3), (1000.0, 0.001, 0.001)], "a double, b double, w double")
+    got = rows.select("w", geo("width", geo("box", F.lit(0.0), F.lit(0.0), "a", "b")).alias("width")).collect()
+    assert [r.width for r in got] == [pytest.approx(r.w, rel=1e-12) for r in got]
+
+
+def test_neighbours_follow_each_other_in_unions(spark):
+    """A grid of boxes in groups of consecutive places: most edges are shared within a group."""
+    from cadastra.functions.geometry import geo, register_geometry
+
+    register_geometry(spark)
+    grid = spark.range(1024).selectExpr("cast(id % 32 as double) as x", "cast(floor(id / 32) as double) as y").select(geo("box", "x", "y", F.col("x") + 1, F.col("y") + 1).alias("geom"))
+    placed = grid.withColumn("at", geo("place", "geom", F.lit(0.0), F.lit(0.0), F.lit(32.0))).orderBy("at").limit(64).agg(F.collect_list("geom").alias("g"))
+    assert placed.select(geo("perimeter", geo("union_all", "g"))).first()[0] == 32.0
