@@ -6,11 +6,13 @@ cells; the kernel decides on the pairs that are left.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.functions.geometry import geo, union_agg, with_bounds
-from cadastra.operators.boxes import BOX, SLIVER, box_join
+from cadastra.functions.geometry import frame_of, geo, union_agg, united, with_bounds
+from cadastra.operators.boxes import BOX, SLIVER, box_join, judged
 from cadastra.operators.dissolve import boundary_level, dissolve
 from cadastra.operators.graph import components
 from cadastra.storage import stored
@@ -47,8 +49,8 @@ def overlap_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 def overlap_regions(layer: DataFrame) -> DataFrame:
     """(unit_a, unit_b, geom) of pairs whose interiors meet."""
     one = layer.select("fid", "geom", *BOX)
-    pairs = box_join(one, one).where("a_fid < b_fid").where(MEET).where(geo("overlaps", "a_geom", "b_geom"))
-    return pairs.select(F.col("a_fid").alias("unit_a"), F.col("b_fid").alias("unit_b"), geo("intersection", "a_geom", "b_geom").alias("geom")).where("geom is not null")
+    pairs = judged(box_join(one, one).where("a_fid < b_fid").where(MEET), "geom", F.when(geo("overlaps", "a_geom", "b_geom"), geo("intersection", "a_geom", "b_geom")))
+    return pairs.where("geom is not null").select(F.col("a_fid").alias("unit_a"), F.col("b_fid").alias("unit_b"), "geom")
 
 
 def clusters(layer: DataFrame) -> DataFrame:
@@ -58,15 +60,33 @@ def clusters(layer: DataFrame) -> DataFrame:
     return components(one.select(F.col("fid").alias("node")), edges).select(F.col("node").alias("fid"), F.col("component").alias("cluster"))
 
 
+def enclosed(layer: DataFrame, fan: int = 64) -> DataFrame:
+    """(geom): holes of the union of the layer that no polygon lies in.
+
+    The union goes in a tree along a Hilbert curve. A hole of a piece that meets
+    no outline of another piece is a hole of the whole union: it leaves the tree
+    and is filled, so the last unions see outlines, not all holes of the layer.
+    """
+    pieces, found = stored(layer.select("geom").where("geom is not null")), []
+    frame, n = frame_of(pieces)
+    while n > fan and frame:
+        pieces = stored(united(pieces, [], frame, n, fan=fan).withColumnRenamed("_part", "id"))
+        n = pieces.count()
+        if n > fan:
+            holes = stored(with_bounds(pieces.select("id", F.explode(geo("apart", "geom")).alias("geom"))))
+            shells = stored(with_bounds(pieces.select("id", F.explode(geo("shells", "geom")).alias("geom"))))
+            entered = judged(box_join(holes, shells).where("a_id <> b_id").where(MEET), "meet", geo("overlaps", "a_geom", "b_geom")).where("meet")
+            closed = stored(holes.select("id", "geom").join(entered.select(F.col("a_id").alias("id"), F.col("a_geom").alias("geom")).distinct(), ["id", "geom"], "left_anti"))
+            found.append(closed.select("geom"))
+            pieces = stored(pieces.join(closed.groupBy("id").agg(F.collect_list("geom").alias("g")), "id", "left").select(geo("without", "geom", "g").alias("geom")))
+    last = pieces.agg(F.collect_list("geom").alias("g")).select(F.explode(geo("gaps", geo("union_all", "g"))).alias("geom"))
+    return reduce(DataFrame.union, found, last)
+
+
 def gaps(layer: DataFrame) -> DataFrame:
     """(gap, geom, width): holes of the union of the layer, numbered by their boxes. Stored: each is measured once."""
-    holes = union_agg(layer.select("geom"), []).select(F.explode(geo("holes", "geom")).alias("geom"))
-    holes = holes.withColumn("fid", F.xxhash64("geom")).repartition(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid")  # they come out of one row
+    holes = enclosed(layer).withColumn("_at", F.xxhash64("geom")).repartition(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_at").drop("_at")  # the last ones come out of one row
     holes = stored(with_bounds(holes.withColumn("width", geo("width", "geom"))))
-    # A hole whose inner point another polygon covers, apart from those around it, is none.
-    points = stored(with_bounds(holes.select("fid", geo("inside", "geom").alias("geom"))))
-    inside = box_join(points, layer.select("fid", "geom", *BOX)).where(geo("covers", "b_geom", "a_geom"))
-    holes = holes.join(inside.select(F.col("a_fid").alias("fid")).distinct(), "fid", "left_anti")
     order = Window.orderBy(*BOX, F.sha2("geom", 256))  # gaps alone: a report
     return stored(holes.select(F.row_number().over(order).cast("long").alias("gap"), "geom", "width", *BOX))
 
@@ -86,7 +106,7 @@ def merge_micro(layer: DataFrame, width: float, tolerance: float = SNAP) -> Data
     small = marked.where("micro").withColumn("key", F.xxhash64("fid", "part"))
     big = marked.where("not micro")
     near = box_join(small.select("key", "geom", *BOX), big.select("fid", "geom", *BOX), pad=tolerance)
-    near = near.withColumn("weight", F.coalesce(geo("area", geo("intersection", geo("buffer", "a_geom", F.lit(tolerance)), "b_geom")), F.lit(0.0))).where("weight > 0")
+    near = judged(near, "weight", geo("area", geo("intersection", geo("buffer", "a_geom", F.lit(tolerance)), "b_geom"))).where("weight > 0")
     best = near.groupBy(F.col("a_key").alias("key")).agg(F.max(F.struct("weight", (-F.col("b_fid")).alias("back"))).alias("m")).select("key", (-F.col("m.back")).alias("to"))
     moved = small.join(best, "key").select(F.col("to").alias("fid"), "geom")
     touched = moved.select("fid").union(small.select("fid")).distinct()
@@ -162,7 +182,7 @@ def clean_coverage(layer: DataFrame, gap_width: float = 0.0, grid: float = SNAP)
     collapse keep their original shape.
     """
     base = stored(with_bounds(layer.select("fid", geo("on_grid", "geom", F.lit(grid)).alias("geom")).where("geom is not null")))
-    pairs = box_join(base.select("fid", "geom", *BOX), base.select("fid", "geom", *BOX)).where("a_fid > b_fid").where(MEET).where(geo("overlaps", "a_geom", "b_geom"))
+    pairs = judged(box_join(base.select("fid", "geom", *BOX), base.select("fid", "geom", *BOX)).where("a_fid > b_fid").where(MEET), "meet", geo("overlaps", "a_geom", "b_geom")).where("meet")
     taken = pairs.groupBy(F.col("a_fid").alias("fid")).agg(F.collect_list("b_geom").alias("g")).select("fid", geo("union_all", "g").alias("taken"))  # neighbours of one unit
     cut = base.join(taken, "fid", "left").select("fid", geo("difference", "geom", "taken").alias("cut"), "geom")
     flat = stored(with_bounds(cut.select("fid", F.coalesce("cut", "geom").alias("geom"))))

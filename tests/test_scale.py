@@ -66,3 +66,45 @@ def test_tables_of_small_files_are_not_broadcast(spark):
     for df in (stored(rows).where("fid > 3").join(stored(rows).select("fid"), "fid"), boxes.box_join(stored(rows), stored(rows)), boxes.box_join(rows, rows), with_keys(rows.selectExpr("fid as a_fid", "fid as b_fid"), rows, rows)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_kernel_sees_a_pair_once(spark):
+    """As conditions of the join, areas were taken in every cell that two boxes share, and in both orders."""
+    from cadastra.operators import polygons
+
+    register_geometry(spark)
+    rows = spark.range(100).selectExpr("id as fid", *[f"cast(id + {d} as double) as {c}" for c, d in zip(boxes.BOX, (0, 0, 2, 2))]).withColumn("geom", geo("box", *boxes.BOX))
+    found = polygons.overlap_regions(rows).where(geo("area", "geom") > 0)
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert joins and not any("geo_" in line for line in joins) and found.count() == 99
+
+
+def test_small_boxes_meet_each_other_in_their_own_cells_only(spark):
+    small = spark.range(400).selectExpr("id as fid", "cast(id % 20 as double) as xmin", "cast(floor(id / 20) as double) as ymin", "id % 20 + 1.0D as xmax", "floor(id / 20) + 1.0D as ymax")
+    world = spark.createDataFrame([(1000 + k, -1.0, -1.0, 21.0, 21.0) for k in range(2)], LAYER)
+    both = small.union(world)
+    pairs = boxes.box_join(both, both)
+    assert pairs.where("a_fid < 1000 and b_fid >= 1000").count() == 800 == pairs.where("a_fid >= 1000 and b_fid < 1000").count()
+    assert pairs.where("a_fid >= 1000 and b_fid >= 1000").count() == 4 and pairs.where("a_fid < 1000 and b_fid < 1000").count() == 58 * 58
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_holes_that_leave_the_tree_are_those_of_one_union(spark, seed):
+    """Islands in holes, rings around other units and holes between the pieces of different unions."""
+    from cadastra.operators import polygons
+
+    register_geometry(spark)
+    rng = random.Random(seed)
+    cells = {(x, y) for x in range(26) for y in range(26) if rng.random() > 0.15}
+    cells -= {(x, y) for x in range(8, 18) for y in range(8, 18)}
+    cells |= {(x, y) for x in range(10, 13) for y in range(10, 13)} - {(11, 11)}
+    rows = [f"POLYGON(({x} {y},{x + 1} {y},{x + 1} {y + 1},{x} {y + 1},{x} {y}))" for x, y in cells]
+    rows += ["POLYGON((40 0,60 0,60 20,40 20,40 0),(42 2,58 2,58 18,42 18,42 2))"] * 2 + [f"POLYGON(({x} {y},{x + 3} {y + 1},{x + 1} {y + 3},{x} {y}))" for x in range(42, 55, 2) for y in range(2, 15, 3)]
+    layer = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "fid long, t string").select("fid", geo("from_text", "t").alias("geom"))
+    one = layer.agg(F.collect_list("geom").alias("g")).select(F.explode(geo("holes", geo("union_all", "g"))).alias("geom"))
+    inner = one.withColumn("at", geo("inside", "geom")).join(layer.select(F.col("geom").alias("other")), geo("covers", "other", "at"), "left_anti")
+    shape = lambda df: sorted((*[round(v, 7) for v in r.b], round(r.a, 7)) for r in df.select(geo("bounds", "geom").alias("b"), geo("area", "geom").alias("a")).collect())
+    want = shape(inner)
+    assert len(want) > 30
+    for fan in (4, 9, 10_000):
+        assert shape(polygons.enclosed(layer, fan)) == want
