@@ -22,6 +22,11 @@ SNAP = 1e-8
 MEET = "a_xmin < b_xmax and a_xmax > b_xmin and a_ymin < b_ymax and a_ymax > b_ymin"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all tasks before the kernel's work: a file of boxes may be a single split."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def bounded(layer: DataFrame) -> DataFrame:
     """Repaired polygons with their boxes; null and empty ones go."""
     df = layer.withColumn("geom", geo("fix", "geom")).where(F.col("geom").isNotNull())
@@ -181,7 +186,7 @@ def clean_coverage(layer: DataFrame, gap_width: float = 0.0, grid: float = SNAP)
     neighbour with the longest shared line (ties to the lowest fid). Units that
     collapse keep their original shape.
     """
-    base = stored(with_bounds(layer.select("fid", geo("on_grid", "geom", F.lit(grid)).alias("geom")).where("geom is not null")))
+    base = stored(with_bounds(judged(spread(layer.select("fid", "geom")), "geom", geo("on_grid", "geom", F.lit(grid))).where("geom is not null")))
     pairs = judged(box_join(base.select("fid", "geom", *BOX), base.select("fid", "geom", *BOX)).where("a_fid > b_fid").where(MEET), "meet", geo("overlaps", "a_geom", "b_geom")).where("meet")
     taken = pairs.groupBy(F.col("a_fid").alias("fid")).agg(F.collect_list("b_geom").alias("g")).select("fid", geo("union_all", "g").alias("taken"))  # neighbours of one unit
     cut = base.join(taken, "fid", "left").select("fid", geo("difference", "geom", "taken").alias("cut"), "geom")

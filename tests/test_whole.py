@@ -117,3 +117,24 @@ def test_known_gaps_are_not_sought_again(spark):
 
     found = polygons.gaps(layer(spark, SF, "units_a"))
     assert workflows.has_gap(None, found=found) and not workflows.has_gap(None, 0.5, found) and workflows.has_gap(None, 10.0, found)
+
+
+@pytest.mark.parametrize("run", ["fixed"])
+def test_runs_find_gaps_and_overlaps_of_a_layer_once(spark, monkeypatch, run):
+    """A clean took the gaps of its input twice and the overlaps of each layer up to four times."""
+    from cadastra.operators import polygons, workflows
+    from cadastra.plans.polygon_queries import layer
+
+    calls = {"gaps": 0, "overlap_regions": 0}
+    for name in calls:
+        monkeypatch.setattr(polygons, name, lambda *a, f=getattr(polygons, name), name=name: calls.update({name: calls[name] + 1}) or f(*a))
+    units = layer(spark, SF, "units_b").where("fid < 600")
+    if run == "clean":
+        out = workflows.topo_clean(units)
+        assert out["checks"].where("not ok").isEmpty() and out["layer"].count() == units.count()
+        found = out["issues"]
+    else:
+        found = QUERIES["G31_fixed_issues"](spark, SF)
+        assert [(r.kind, r.fixed) for r in found.collect()] == [("overlap", True)]
+    assert calls == {"gaps": 2, "overlap_regions": 2}  # one layer before, one after
+    assert found.where("kind = 'overlap' and not fixed").isEmpty() and not found.where("kind = 'overlap'").isEmpty()
