@@ -29,7 +29,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def bounded(layer: DataFrame) -> DataFrame:
     """Repaired polygons with their boxes; null and empty ones go."""
-    df = layer.withColumn("geom", geo("fix", "geom")).where(F.col("geom").isNotNull())
+    df = judged(spread(layer), "geom", geo("fix", "geom")).where(F.col("geom").isNotNull())
     return stored(with_bounds(df.select(*[c for c in df.columns if c not in BOX])))
 
 
@@ -108,6 +108,8 @@ def merge_micro(layer: DataFrame, width: float, tolerance: float = SNAP) -> Data
     parts = stored(layer.select("fid", F.posexplode(geo("parts", "geom")).alias("part", "geom")))
     thin = 2 * geo("area", "geom") <= F.lit(width) * geo("perimeter", "geom")
     marked = stored(with_bounds(parts.withColumn("micro", F.when(thin, geo("width", "geom") <= width).otherwise(False))))
+    if marked.where("micro").isEmpty():
+        return layer.select("fid", "geom")
     small = marked.where("micro").withColumn("key", F.xxhash64("fid", "part"))
     big = marked.where("not micro")
     near = box_join(small.select("key", "geom", *BOX), big.select("fid", "geom", *BOX), pad=tolerance)

@@ -119,9 +119,9 @@ def test_known_gaps_are_not_sought_again(spark):
     assert workflows.has_gap(None, found=found) and not workflows.has_gap(None, 0.5, found) and workflows.has_gap(None, 10.0, found)
 
 
-@pytest.mark.parametrize("run", ["fixed"])
+@pytest.mark.parametrize("run", ["clean", "fixed"])
 def test_runs_find_gaps_and_overlaps_of_a_layer_once(spark, monkeypatch, run):
-    """A clean took the gaps of its input twice and the overlaps of each layer up to four times."""
+    """A clean took the gaps of its input twice and the overlaps of a layer up to three times."""
     from cadastra.operators import polygons, workflows
     from cadastra.plans.polygon_queries import layer
 
@@ -138,3 +138,15 @@ def test_runs_find_gaps_and_overlaps_of_a_layer_once(spark, monkeypatch, run):
         assert [(r.kind, r.fixed) for r in found.collect()] == [("overlap", True)]
     assert calls == {"gaps": 2, "overlap_regions": 2}  # one layer before, one after
     assert found.where("kind = 'overlap' and not fixed").isEmpty() and not found.where("kind = 'overlap'").isEmpty()
+
+
+def test_kernel_runs_after_rows_are_dealt_out(spark):
+    """A layer of one file is one split: repairs and grids are not done before the exchange."""
+    from cadastra.operators import polygons
+    from cadastra.operators.boxes import judged
+    from cadastra.functions.geometry import geo
+    from cadastra.plans.polygon_queries import layer
+
+    plan = judged(polygons.spread(layer(spark, SF, "units_b")), "geom", geo("fix", "geom")).where("geom is not null")._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [k for k, line in enumerate(plan) if "geo_fix" in line] and max(k for k, line in enumerate(plan) if "geo_fix" in line) < min(k for k, line in enumerate(plan) if "Exchange" in line)
+    assert polygons.bounded(layer(spark, SF, "units_b")).count() == layer(spark, SF, "units_b").count()
